@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gritstone.llm import decontaminate, language_id, license_scan, packing, secret_scan, url_filter
+from gritstone.llm import decontaminate, language_id, license_scan, near_dedup, packing, secret_scan, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": language_id.op3_language_id,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
     "op8_packing": packing.op8_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
