@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gritstone.llm import decontaminate, language_id, license_scan, near_dedup, packing, secret_scan, url_filter
+from gritstone.llm import decontaminate, language_id, license_scan, near_dedup, packing, secret_scan, sharding, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
+    "op6_sharding": sharding.op6_sharding,
     "op8_packing": packing.op8_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
