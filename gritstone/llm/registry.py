@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gritstone.llm import decontaminate, language_id, license_scan, near_dedup, packing, secret_scan, sharding, url_filter
+from gritstone.llm import decontaminate, html_main, language_id, license_scan, near_dedup, packing, secret_scan, sharding, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_sharding": sharding.op6_sharding,
+    "op7_html_main": html_main.op7_html_main,
     "op8_packing": packing.op8_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
