@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gritstone.llm import decontaminate, html_main, language_id, license_scan, near_dedup, packing, secret_scan, sharding, url_filter
+from gritstone.llm import decontaminate, html_main, language_id, license_scan, near_dedup, packing, secret_scan, sharding, url_filter, vector_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_html_main": html_main.op7_html_main,
     "op8_packing": packing.op8_packing,
+    "op9_vector_dedup": vector_dedup.op9_vector_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {"op2_url_filter": url_filter.ORACLE}
