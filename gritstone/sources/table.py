@@ -25,7 +25,7 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
 
 def merged(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Rows of ``new``, and those of ``old`` whose key is not among them."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.join(new.select(key), key, "left_anti").select(old.columns).unionByName(new, allowMissingColumns=True)
 
 
 def upsert(spark: SparkSession, new: DataFrame, path: str, cfg: Config, replace_patent: bool = False) -> None:
@@ -39,11 +39,13 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, cfg: Config, replace_
         new.repartition("bucket").write.partitionBy("bucket").parquet(path)
         return
     touched = [r[0] for r in new.select("bucket").distinct().collect()]  # cfg.buckets numbers at most
-    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    table = spark.read.parquet(path)
+    columns = table.columns
+    old = table.where(F.col("bucket").isin(touched))
     if replace_patent:
         old = old.join(new.select("patent_id").distinct(), "patent_id", "left_anti")
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    merged(old, new).repartition("bucket").write.parquet(staged)
+    merged(old.select(columns), new).repartition("bucket").write.parquet(staged)
     whole = spark.read.parquet(staged)
     whole.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(staged)
