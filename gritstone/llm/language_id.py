@@ -29,7 +29,7 @@ TRAIN_ROWS = 300  # documents for each language, at most
 TRAIN_BYTES = 1 << 16  # of one of them, at most
 SEGMENT = 1 << 19  # bytes scored at once
 UNDETERMINED = "und"
-PAD = b"\n" * ORDER
+PAD = b"\n"  # stands before a text as often as the order
 
 
 class Table:
@@ -136,12 +136,12 @@ class Model:
                 size += len(texts[i])
                 i += 1
             if len(group) == 1:
-                whole = PAD + texts[group[0]]
+                whole = PAD * self.order + texts[group[0]]
                 for a in range(0, size, SEGMENT):
                     cost = self._cost(np.frombuffer(whole[a : a + SEGMENT + self.order], np.uint8))
                     out[group[0]] += cost.sum(0, dtype=np.float64)
                 continue
-            cost = self._cost(np.frombuffer(b"".join(PAD + texts[j] for j in group), np.uint8))
+            cost = self._cost(np.frombuffer(b"".join(PAD * self.order + texts[j] for j in group), np.uint8))
             # a text's bytes begin where its padding ends; the padding's own cost is left out
             starts = np.cumsum([0] + [len(texts[j]) + self.order for j in group[:-1]])
             total = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(cost, 0, dtype=np.float64)])
@@ -166,7 +166,7 @@ def fit(labelled: DataFrame, order: int = ORDER, rows: int = TRAIN_ROWS) -> Mode
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key, n = np.unique(grams(np.frombuffer(PAD + folded(text), np.uint8), order + 1), return_counts=True)
+                key, n = np.unique(grams(np.frombuffer(PAD * order + folded(text), np.uint8), order + 1), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(key)), pa.array(key.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"]
                 )
