@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gritstone.config import Config
 from gritstone.functions import models
+from gritstone.sources.scratch import let_workers_import
 
 
 def embed(rows: DataFrame, cfg: Config, text: str = "text", vector: str = "vector") -> DataFrame:
@@ -18,6 +19,7 @@ def embed(rows: DataFrame, cfg: Config, text: str = "text", vector: str = "vecto
 
     Validate first: filters do not move below this step.
     """
+    let_workers_import(rows.sparkSession)
     rows = rows.drop(vector)
     at, name, dim = rows.columns.index(text), cfg.embedding_model, cfg.vector_size
 

@@ -33,14 +33,19 @@ def valid_chunks(patents: DataFrame, cfg: Config) -> DataFrame:
     return indexed(judged(built_chunks(patents, cfg), cfg))
 
 
-def embedded_chunks(patents: DataFrame, cfg: Config) -> DataFrame:
-    """The payload of each valid chunk, with metadata and vector."""
+def payload(patents: DataFrame, cfg: Config) -> DataFrame:
+    """The payload of each valid chunk, with its patent's metadata where there is any."""
     rows = valid_chunks(patents, cfg)
     if "metadata" in patents.columns:
         rows = rows.join(patents.select("patent_id", "metadata"), "patent_id", "left")
     else:
         rows = rows.withColumn("metadata", F.lit(None).cast("string"))
-    return embed(rows.select(PAYLOAD), cfg)
+    return rows.select(PAYLOAD)
+
+
+def embedded_chunks(patents: DataFrame, cfg: Config) -> DataFrame:
+    """The payload and vector of each valid chunk."""
+    return embed(payload(patents, cfg), cfg)
 
 
 def ingest(spark: SparkSession, folder: str, cfg: Config) -> None:

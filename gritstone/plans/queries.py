@@ -21,6 +21,7 @@ from gritstone.operators import validate as V
 from gritstone.plans import jobs
 from gritstone.plans.fixture import TABLE_CONFIG as CFG
 from gritstone.plans.fixture import benchmark_queries, patents, table
+from gritstone.sources.scratch import Scratch
 from gritstone.sources.table import merged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,9 +233,9 @@ def label_results(spark, d):
 
 
 def _hits(spark, d):
-    """Collection and its hits for every benchmark text."""
+    """The collection, stored once as ingest would, and its hits for every benchmark text."""
     asked = E.embed(benchmark_queries(spark, d), CFG, "query_text", "query_vector")
-    rows = _collection(spark, d)
+    rows = Scratch(spark, "collection").keep(_collection(spark, d), "chunks")
     return rows, Q.vector_search(asked, rows.select(F.col("chunk_id").alias("id"), "vector"), CFG)
 
 
