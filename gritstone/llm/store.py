@@ -1,60 +1,5 @@
-"""Shared scratch tables: how the iterative operators cut lineage so that lost executors cost a re-read, not a re-run.
+"""Scratch tables of the corpus operators."""
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is made only where that is
-unset, as in tests with a local master.
-"""
+from gritstone.sources.scratch import Scratch, let_workers_import, scratch_dir
 
-from __future__ import annotations
-
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-gritstone-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-class Scratch:
-    """Tables written under one fresh folder of the shared scratch space.
-
-    ``keep`` writes a DataFrame as Parquet and returns a DataFrame that reads it; ``drop`` deletes a table that no later
-    step reads, so that iterations do not pile up on disk.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{scratch_dir(spark)}/gritstone-{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def let_workers_import(spark: SparkSession) -> None:
-    """Puts this checkout on the Python path of workers started on the same machine (clusters ship it with --py-files)."""
-    env = spark.sparkContext.environment
-    path = env.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (path, ROOT) if x)
+__all__ = ["Scratch", "let_workers_import", "scratch_dir"]
