@@ -33,6 +33,7 @@ SMALL_BUCKET = 24
 #: Ids up to which the set of candidate documents is sent to every task (12 bytes each); beyond, texts are shuffled.
 MAX_SENT_IDS = 1_000_000
 BATCH_ROWS = 1000
+SET_ROWS = 200  # whole sets that a task hands over at once
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 2**63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,25 +100,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_ROWS):
-            ids, texts = batch.slice(at, BATCH_ROWS).columns
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([s.tobytes() for s in shingle_sets(texts.to_pylist())], pa.binary())], ["doc_id", "hashes"]
-            )
-
-
-def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, sa, sb = batch.columns
-        common = [
-            len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
-            for x, y in zip(sa, sb, strict=True)
-        ]
-        sizes = [len(x.as_buffer()) // 8 + len(y.as_buffer()) // 8 for x, y in zip(sa, sb, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [a, b, pa.array(common, pa.int64()), pa.array([s - c for s, c in zip(sizes, common, strict=True)], pa.int64())],
-            ["a", "b", "common", "whole"],
-        )
+        for at in range(0, batch.num_rows, SET_ROWS):
+            ids, texts = batch.slice(at, SET_ROWS).columns
+            sets = shingle_sets(texts.to_pylist())
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            values = pa.LargeListArray.from_arrays(np.cumsum([0] + [len(s) for s in sets]), flat).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, values], ["doc_id", "hashes"])
 
 
 class NearDuplicates:
@@ -158,10 +146,11 @@ class NearDuplicates:
         ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         ids = self.scratch.keep(ids, f"{name}-ids")
         sent = F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids
-        sets = self.scratch.keep(self.docs.join(sent, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes binary"), f"{name}-sets")
+        sets = self.scratch.keep(self.docs.join(sent, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes array<long>"), f"{name}-sets")
         whole = lambda x: sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"h{x}"))
-        both = near.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "ha", "hb")
-        links = both.mapInArrow(_overlap, "a long, b long, common long, whole long")
+        both = near.join(whole("a"), "a").join(whole("b"), "b")
+        common = F.size(F.array_intersect("ha", "hb"))
+        links = both.withColumn("common", common).withColumn("whole", F.size("ha") + F.size("hb") - F.col("common"))
         links = self.scratch.keep(links.where(F.col("common") * 100 >= F.col("whole") * self.percent).select("a", "b").distinct(), f"{name}-links")
         self.scratch.drop(sets)
         return links
@@ -187,9 +176,8 @@ class NearDuplicates:
         order; in order of rarity, passages that many documents share come last.
         """
         ids = members.select(F.col("rep").alias("doc_id"))
-        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes binary")
-        longs = sets.mapInArrow(_as_longs, "rep long, hashes array<long>")
-        each = self.scratch.keep(longs.select("rep", F.explode("hashes").alias("h")), "rare-shingles")
+        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes array<long>")
+        each = self.scratch.keep(sets.select(F.col("doc_id").alias("rep"), F.explode("hashes").alias("h")), "rare-shingles")
         held = each.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
         lists = each.join(held, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "h"))).alias("some"))
         # shingles held once come before all others and match nothing, so only what is left of the prefix counts
@@ -221,13 +209,6 @@ class NearDuplicates:
         return self.scratch.keep(components(self.spark, self.links, self.scratch), "components")
 
 
-def _as_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, sets = batch.columns
-        values = pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, values], ["rep", "hashes"])
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, an integer, and text).
 
