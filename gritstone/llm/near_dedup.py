@@ -5,8 +5,8 @@ same minima, folded into a parity bitmap (the odd sketch), give an estimate of s
 XOR of two bitmaps, which turns most false candidates away; the rest are confirmed on the full shingle sets.
 
 A bucket of a band never gives all its pairs. Each member meets the smallest and the largest id of its bucket; once those
-links are contracted, only members of different components still have to meet, and in a bucket with many components only
-those whose rarest shingles agree.
+links are contracted, only members of different components still have to meet. In a bucket with many components they do
+so in blocks, on finer odd sketches, and only the few pairs that pass leave the task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,27 +29,31 @@ WORDS = 8  # of 64 bits, in an odd sketch
 PERCENT = 75
 #: Pairs estimated below this go; at 0.75 the estimate is five standard deviations above.
 ESTIMATE = 0.5
-#: Components in a bucket up to which their members meet each other; beyond, rare shingles decide who meets.
+#: Components in a bucket up to which their members are joined; beyond, they are compared in blocks on fine sketches.
 SMALL_BUCKET = 24
+FINE_MINHASHES, FINE_WORDS = 1024, 64
+#: Pairs estimated below this on fine sketches go; at 0.75 the estimate is five standard deviations above.
+FINE_ESTIMATE = 0.667
+BLOCK = 512  # members of a bucket in a block
 #: Ids up to which the set of candidate documents is sent to every task (12 bytes each); beyond, texts are shuffled.
 MAX_SENT_IDS = 1_000_000
 BATCH_ROWS = 1000
 SET_ROWS = 200  # whole sets that a task hands over at once
 
 _rng = np.random.default_rng(77)
-_MULTIPLY = _rng.integers(1, 2**63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _rng.integers(0, 2**63, MINHASHES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(1, 2**63, FINE_MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _rng.integers(0, 2**63, FINE_MINHASHES, dtype=np.uint64)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], minhashes: int = MINHASHES) -> np.ndarray:
     """Minima of each non-empty set, one row each."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]]) if sets else np.zeros(0, np.int64)
-    out = np.empty((len(sets), MINHASHES), np.uint64)
+    out = np.empty((len(sets), minhashes), np.uint64)
     for lo in range(0, len(sets), 64):  # so that what is worked on stays in the cache
         hi = min(lo + 64, len(sets))
         part = flat[at[lo] : at[hi] if hi < len(sets) else len(flat)]
-        for k in range(MINHASHES):
+        for k in range(minhashes):
             out[lo:hi, k] = np.minimum.reduceat((part ^ _FLIP[k]) * _MULTIPLY[k], at[lo:hi] - at[lo])
     return out
 
@@ -60,12 +65,13 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return mix(keys ^ np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def odd_sketch(minima: np.ndarray) -> np.ndarray:
-    """WORDS 64-bit words a row: bit b is the parity of the minima that hash to b."""
-    bit = mix(minima + np.arange(MINHASHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(64 * WORDS)
-    out = np.zeros((len(minima), WORDS), np.uint64)
+def odd_sketch(minima: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """``words`` 64-bit words a row: bit b is the parity of the minima that hash to b."""
+    n = minima.shape[1]
+    bit = mix(minima + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(64 * words)
+    out = np.zeros((len(minima), words), np.uint64)
     rows = np.arange(len(minima))
-    for k in range(MINHASHES):
+    for k in range(n):
         out[rows, bit[:, k] >> np.uint64(6)] ^= np.uint64(1) << (bit[:, k] & np.uint64(63))
     return out
 
@@ -76,6 +82,12 @@ def estimate_from_ones(ones: Column) -> Column:
     return 1 + bits / (4 * MINHASHES) * F.log(F.greatest(1 - 2 * ones / bits, F.lit(1e-9)))
 
 
+def most_ones(similarity: float, minhashes: int, words: int) -> int:
+    """Ones in the XOR of two odd sketches up to which their estimate reaches ``similarity``."""
+    bits = 64 * words
+    return int(bits / 2 * (1 - np.exp(-4 * minhashes / bits * (1 - similarity))))
+
+
 SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"
 
 
@@ -108,6 +120,49 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, values], ["doc_id", "hashes"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SET_ROWS):
+            ids, texts = batch.slice(at, SET_ROWS).columns
+            full = [(i, s) for i, s in zip(ids.to_pylist(), shingle_sets(texts.to_pylist()), strict=True) if len(s)]
+            sketch = odd_sketch(signatures([s for _, s in full], FINE_MINHASHES), FINE_WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int64()), pa.array([r.tobytes() for r in sketch], pa.binary())], ["doc_id", "fine"])
+
+
+def _meet(percent: int):
+    coarse, fine = most_ones(ESTIMATE, MINHASHES, WORDS), most_ones(FINE_ESTIMATE, FINE_MINHASHES, FINE_WORDS)
+
+    def meet(key, rows: pd.DataFrame) -> pd.DataFrame:
+        """(a, b) of block i and block j of a bucket that may be similar; a pair leaves only the first bucket it shares."""
+        bucket, i, j = key
+        left, right = rows[rows["chunk"] == i], rows[rows["chunk"] == j]
+        ids = [p["rep"].to_numpy() for p in (left, right)]
+        n = [p["n"].to_numpy() for p in (left, right)]
+        part = [p["component"].to_numpy() for p in (left, right)]
+        light = [np.array(p["sketch"].tolist(), np.int64).reshape(len(p), WORDS) for p in (left, right)]
+        heavy = [np.frombuffer(b"".join(p["fine"]), np.uint64).reshape(len(p), FINE_WORDS) for p in (left, right)]
+        keys = [[frozenset(k) for k in p["keys"]] for p in (left, right)]
+        out: list[np.ndarray] = []
+        for at in range(0, len(left), 64):
+            rows_ = slice(at, at + 64)
+            ones = np.bitwise_count(light[0][rows_, None, :] ^ light[1][None]).sum(2, dtype=np.int32)
+            least = np.minimum(n[0][rows_, None], n[1][None])
+            sized = least * 100 >= np.maximum(n[0][rows_, None], n[1][None]) * percent
+            meets = (ones <= coarse) & sized & (part[0][rows_, None] != part[1][None])
+            if i == j:
+                meets &= ids[0][rows_, None] < ids[1][None]
+            a, b = np.nonzero(meets)
+            a += at
+            for cut in range(0, len(a), 20_000):
+                x, y = a[cut : cut + 20_000], b[cut : cut + 20_000]
+                near = np.bitwise_count(heavy[0][x] ^ heavy[1][y]).sum(1, dtype=np.int32) <= fine
+                out += [np.array([ids[0][p], ids[1][q]]) for p, q in zip(x[near], y[near], strict=True) if min(keys[0][p] & keys[1][q]) == bucket]
+        pairs = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return meet
+
+
 class NearDuplicates:
     """The steps of one search over ``docs`` (doc_id and text), with their scratch tables."""
 
@@ -143,7 +198,7 @@ class NearDuplicates:
             .where(estimate_from_ones(ones) >= ESTIMATE)
         )
         near = self.scratch.keep(near.select("a", "b"), f"{name}-near")
-        ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
         ids = self.scratch.keep(ids, f"{name}-ids")
         sent = F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids
         sets = self.scratch.keep(self.docs.join(sent, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes array<long>"), f"{name}-sets")
@@ -169,21 +224,23 @@ class NearDuplicates:
         met = rows.join(rest, key).where((F.col("component") != F.col("c")) & sized)
         return met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
 
-    def _rare(self, members: DataFrame) -> DataFrame:
-        """(h, rep, n, component) for the rarest shingles of each member, as many as two similar sets cannot both lack.
+    def _blocks(self, open_: DataFrame) -> DataFrame:
+        """(a, b) of different components that share a large bucket and may be similar by their fine sketches.
 
-        Sets that are similar enough share one of their n - ceil(n * percent / 100) + 1 first shingles in any common
-        order; in order of rarity, passages that many documents share come last.
+        A bucket is dealt to blocks of about BLOCK members by hash, and each pair of blocks is one group.
         """
-        ids = members.select(F.col("rep").alias("doc_id"))
-        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes array<long>")
-        each = self.scratch.keep(sets.select(F.col("doc_id").alias("rep"), F.explode("hashes").alias("h")), "rare-shingles")
-        held = each.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
-        lists = each.join(held, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "h"))).alias("some"))
-        # shingles held once come before all others and match nothing, so only what is left of the prefix counts
-        first = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1 - (F.col("n") - F.size("some"))
-        lists = lists.join(members, "rep").withColumn("first", first.cast("int")).where("first > 0")
-        return lists.select("rep", "n", "component", F.explode(F.slice("some", F.lit(1), F.col("first"))).alias("x")).select("x.h", "rep", "n", "component")
+        of = open_.groupBy("rep", "n", "component").agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
+        ids = self.scratch.keep(of.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
+        sent = F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids
+        fine = self.docs.join(sent, "doc_id", "left_semi").mapInArrow(_fine, "rep long, fine binary").dropDuplicates(["rep"])
+        light = self.reps.select("rep", "sketch").dropDuplicates(["rep"])
+        members = self.scratch.keep(of.join(light, "rep").join(fine, "rep"), "members")
+        chunks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+        rows = members.withColumn("key", F.explode("keys")).join(chunks, "key")
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "chunks")
+        return rows.groupBy("key", "i", "j").applyInPandas(_meet(self.percent), "a long, b long").distinct()
 
     def run(self) -> DataFrame:
         """(node, component) of every class that is linked with another."""
@@ -201,9 +258,8 @@ class NearDuplicates:
         open_ = self.scratch.keep(open_.join(parts, "key"), "open")
         self.scratch.drop(buckets)
         small = self._across(open_.where(F.col("parts") <= SMALL_BUCKET).drop("parts"), "key")
-        members = open_.where(F.col("parts") > SMALL_BUCKET).select("rep", "n", "component").distinct()
-        members = self.scratch.keep(members, "members")
-        more = self.scratch.keep(small.union(self._across(self._rare(members), "h")).distinct(), "more")
+        large = self._blocks(open_.where(F.col("parts") > SMALL_BUCKET).drop("parts"))
+        more = self.scratch.keep(small.union(large).distinct(), "more")
         again = self.confirmed(more, "more")
         self.links = links.union(again)
         return self.scratch.keep(components(self.spark, self.links, self.scratch), "components")
