@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gritstone.llm import decontaminate, html_main, language_id, license_scan, near_dedup, packing, secret_scan, sharding, url_filter, vector_dedup
+from gritstone.llm import decontaminate, html_main, language_id, license_scan, near_dedup, packing, secret_scan, sharding, sql, url_filter, vector_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_vector_dedup": vector_dedup.op9_vector_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES = {"op2_url_filter": url_filter.ORACLE}
+ORACLES = {
+    "op2_url_filter": url_filter.ORACLE,
+    "op4_near_dedup": sql.NEAR_DEDUP,
+    "op9_vector_dedup": sql.VECTOR_DEDUP,
+    "op10_decontaminate": sql.DECONTAMINATE,
+}
