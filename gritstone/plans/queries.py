@@ -22,7 +22,7 @@ from gritstone.plans import jobs
 from gritstone.plans.fixture import TABLE_CONFIG as CFG
 from gritstone.plans.fixture import benchmark_queries, patents, table
 from gritstone.sources.scratch import Scratch
-from gritstone.sources.table import merged
+from gritstone.sources.table import merged, read_collection, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -320,6 +320,18 @@ def upsert_merge(spark, d):
     return merged(old, new)
 
 
+@query
+def collection_upsert(spark, d):
+    """The same two builds through the collection table: written in buckets, upserted, and read back."""
+    old = _chunks(spark, d).select("chunk_id", "patent_id", "token_count", F.lit(1).alias("version"))
+    english = patents(spark, d).where("metadata.lang = 'en'")
+    new = jobs.built_chunks(english, NO_OVERLAP).select("chunk_id", "patent_id", "token_count", F.lit(2).alias("version"))
+    path = f"{Scratch(spark, 'collection').base}/table"
+    upsert(spark, old, path, CFG)
+    upsert(spark, new, path, CFG)
+    return read_collection(spark, path)
+
+
 @query
 def document_metadata_join(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
