@@ -132,7 +132,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _meet(percent: int):
     coarse, fine = most_ones(ESTIMATE, MINHASHES, WORDS), most_ones(FINE_ESTIMATE, FINE_MINHASHES, FINE_WORDS)
 
-    def meet(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """(a, b) of block i and block j of a bucket that may be similar; a pair leaves only the first bucket it shares."""
         bucket, i, j = key
         left, right = rows[rows["chunk"] == i], rows[rows["chunk"] == j]
@@ -187,8 +187,11 @@ class NearDuplicates:
         ends = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("members"))
         return banded.join(ends.where("lo < hi"), "key")
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The (a, b) of ``pairs`` that are similar enough, by sketch and then on the full sets."""
+    def confirmed(self, pairs: DataFrame, name: str, passed: DataFrame | None = None) -> DataFrame:
+        """The (a, b) of ``pairs`` that are similar enough, by sketch and then on the full sets.
+
+        Pairs in ``passed`` have been held against their sketches before and go to the full sets at once.
+        """
         light = self.reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
         of = lambda x: light.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         ones = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WORDS)), F.lit(0))
@@ -197,7 +200,8 @@ class NearDuplicates:
             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
             .where(estimate_from_ones(ones) >= ESTIMATE)
         )
-        near = self.scratch.keep(near.select("a", "b"), f"{name}-near")
+        near = near.select("a", "b")
+        near = self.scratch.keep(near if passed is None else near.union(passed).distinct(), f"{name}-near")
         ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
         ids = self.scratch.keep(ids, f"{name}-ids")
         sent = F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids
@@ -259,8 +263,7 @@ class NearDuplicates:
         self.scratch.drop(buckets)
         small = self._across(open_.where(F.col("parts") <= SMALL_BUCKET).drop("parts"), "key")
         large = self._blocks(open_.where(F.col("parts") > SMALL_BUCKET).drop("parts"))
-        more = self.scratch.keep(small.union(large).distinct(), "more")
-        again = self.confirmed(more, "more")
+        again = self.confirmed(small, "more", large)
         self.links = links.union(again)
         return self.scratch.keep(components(self.spark, self.links, self.scratch), "components")
 
