@@ -22,6 +22,7 @@ WINDOW = 13
 CONTAMINATED_SHARE = 20  # contaminated if one word in 20 or more is hit
 #: Windows that one automaton holds; a larger set of items is scanned in blocks of this size, one automaton at a time.
 BLOCK_WINDOWS = 400_000
+BATCH_ROWS = 500
 
 _FOLD = bytes(i if 48 <= i < 58 or 97 <= i < 123 or i >= 128 else i + 32 if 65 <= i < 91 else 32 for i in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -128,14 +129,15 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _scan(batch.column(at).to_pylist(), sent.value, tag)
-            n, hit, ids, spans = zip(*found, strict=True) if found else ((), (), (), ())
-            new = [
-                pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())),
-                pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n_words", "n_hit", "items", "hit_spans"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                n, hit, ids, spans = zip(*_scan(batch.column(at).to_pylist(), sent.value, tag), strict=True)
+                new = [
+                    pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())),
+                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n_words", "n_hit", "items", "hit_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(scan, f"{fields}, {FOUND}")

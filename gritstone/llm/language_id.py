@@ -27,7 +27,8 @@ from gritstone.llm.store import let_workers_import
 ORDER = 4
 TRAIN_ROWS = 300  # documents for each language, at most
 TRAIN_BYTES = 1 << 16  # of one of them, at most
-SEGMENT = 1 << 19  # bytes scored at once
+SEGMENT = 1 << 17  # bytes scored at once
+BATCH_ROWS = 500
 UNDETERMINED = "und"
 PAD = b"\n"  # stands before a text as often as the order
 
@@ -206,17 +207,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
             _models.clear()
             _models[tag] = pickle.loads(sent.value)
         m = _models[tag]
-        for batch in batches:
-            texts = [folded(t) if t else b"" for t in batch.column(len(keep)).to_pylist()]
-            bits = m.score(texts) if m.langs else np.zeros((len(texts), 1))
-            best = bits.argmin(1) if len(texts) else np.zeros(0, int)
-            share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1) if len(texts) else np.zeros(0)
-            size = np.array([len(t) for t in texts], float)
-            known = (size > 0) & bool(m.langs)
-            names = [m.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
-            rate = np.where(known, bits.min(1) / np.maximum(size, 1), 0.0) if len(texts) else np.zeros(0)
-            new = [pa.array(names, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(rate)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], [*keep, "lang_pred", "score", "bits_per_byte"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                texts = [folded(t) if t else b"" for t in batch.column(len(keep)).to_pylist()]
+                bits = m.score(texts) if m.langs else np.zeros((len(texts), 1))
+                best = bits.argmin(1)
+                share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
+                size = np.array([len(t) for t in texts], float)
+                known = (size > 0) & bool(m.langs)
+                names = [m.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
+                rate = np.where(known, bits.min(1) / np.maximum(size, 1), 0.0)
+                new = [pa.array(names, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(rate)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], [*keep, "lang_pred", "score", "bits_per_byte"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(label, f"{fields}, lang_pred string, score double, bits_per_byte double")

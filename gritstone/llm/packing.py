@@ -26,7 +26,7 @@ from gritstone.llm.store import let_workers_import
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 600_000  # words kept with their ids in each worker
+CACHE_WORDS = 400_000  # words kept with their ids in each worker
 BATCH_ROWS = 512
 
 #: Letters, digits and punctuation below U+0250 split as the tokenizer splits them, and fold alike one by one.
