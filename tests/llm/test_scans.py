@@ -146,6 +146,28 @@ def test_every_rule_has_its_keyword():
         re.compile(regex)
 
 
+def shortest(regex):
+    """A match of a rule: options left out, the first of alternatives."""
+    regex = re.sub(r"\(\?:[^)]*\)\?|\[[^\]]*\]\{0,\d+\}", "", regex)
+    regex = re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", regex)
+    regex = re.sub(r"\[[^\]]*\]\{1,\d+\}", "x", regex)
+    return re.sub(r".\?", "", regex.replace("[cs]", "c"))
+
+
+def test_every_rule_is_found_alone_in_any_case_and_over_lines(spark):
+    rules, texts = signatures(), []
+    for label, _, _, regex in rules:
+        words = shortest(regex)
+        assert re.fullmatch(regex, words)
+        first = next(x for x, _, _, other in rules if re.fullmatch(other, words))  # an earlier rule for the same words wins
+        for t in (words, words.title(), words.upper(), words.replace(" ", "\n\n"), words.replace(" ", "  "), words.replace(" ", "_")):
+            texts.append((t, first))
+    rows = L.scan_licenses(table(spark, [t for t, _ in texts])).select("doc_id", "labels").collect()
+    assert len(rows) == len(texts)
+    assert [texts[r.doc_id] for r in rows if texts[r.doc_id][1] not in r.labels] == []
+    assert {x for _, x in texts} == {r[0] for r in rules}
+
+
 ITEM = " ".join(f"item{i}" for i in range(20))
 ITEMS = [(1, ITEM), (2, "short one"), (3, None), (4, "!!!"), (None, "no name at all"), (10, ITEM.upper()), (5, "Ünï cödé")]
 TEXTS = [
