@@ -140,6 +140,25 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
         assert (r.n_links, r.component_id, r.kept) == (links[r.vec_id], want[r.vec_id], want[r.vec_id] == r.vec_id)
 
 
+def test_a_failed_audit_searches_until_the_found_edges_suffice_or_fails(spark, monkeypatch):
+    df = spark.createDataFrame([x for x in vectors() if x[0] < 1000], "vec_id long, embedding array<float>, label int")
+    want = sorted(map(tuple, V.near_duplicate_vectors(df).collect()))
+    real, calls = V.VectorSearch.orders, []
+
+    def late(self, trees):
+        calls.append(trees)
+        return real(self, trees) if len(calls) > 2 else spark.createDataFrame([], V.EDGE)
+
+    with monkeypatch.context() as m:
+        m.setattr(V.VectorSearch, "orders", late)
+        assert sorted(map(tuple, V.near_duplicate_vectors(df).collect())) == want and len(calls) == 3
+    monkeypatch.setattr(V, "MORE", 1)
+    monkeypatch.setattr(V, "ROUNDS", 0)
+    monkeypatch.setattr(V.VectorSearch, "orders", lambda self, trees: spark.createDataFrame([], V.EDGE))
+    with pytest.raises(RuntimeError, match="finds 0.0000 of the audited links"):
+        V.near_duplicate_vectors(df)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert V.near_duplicate_vectors(df).count() == 0
