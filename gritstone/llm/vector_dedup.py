@@ -2,7 +2,9 @@
 
 Within each label, a few random orders along signs of random projections give every vector a first list of neighbours.
 Rounds of joins then show each vector the neighbours of its neighbours (in both directions) and keep the nearest. The
-edges that reach the threshold are kept, and the members of a component are compared in blocks. An audit compares a
+edges that reach the threshold are kept. A list all of whose entries reach it is saturated: it may be too short to hold
+links to other components, so saturated vectors of different components of a label are all compared, in blocks. Then the
+members of each component are compared in blocks, so that every link within is counted. An audit compares a
 number of vectors, others in each pass, with all of their label; while the edges found by the search join too few of
 their links, further orders and rounds follow, and after the last the search fails. Links of the audits are added at the
 end.
@@ -32,6 +34,7 @@ AUDITED = 128
 AUDIT_RECALL = 0.98
 MORE = 6  # further searches that failed audits may ask for
 BLOCK = 256  # vectors of one component in a block
+CROSS_BLOCK = 1024  # saturated vectors in a block
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -157,6 +160,19 @@ def _count_block(threshold: float):
     return count
 
 
+def _cross_block(threshold: float):
+    def cross(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """A link between each two components that have one in blocks i and j of a label."""
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
+        x, y = (_unit(np.frombuffer(b"".join(p["vec"]), np.float64).reshape(len(p), -1)) for p in (left, right))
+        r, c = np.nonzero((x @ y.T >= threshold) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]))
+        out = pd.DataFrame({"a": left["id"].to_numpy()[r], "b": right["id"].to_numpy()[c], "ca": left["component"].to_numpy()[r], "cb": right["component"].to_numpy()[c]})
+        return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+    return cross
+
+
 class VectorSearch:
     def __init__(self, vectors: DataFrame, threshold: float = THRESHOLD):
         self.spark = vectors.sparkSession
@@ -222,6 +238,29 @@ class VectorSearch:
 
         return pairs.join(v("a"), "a").join(v("b"), "b").select("a", "b", "va", "vb").mapInArrow(check, "a long, b long")
 
+    def across(self, graph: DataFrame, found: DataFrame) -> DataFrame:
+        """Links (a, b) between the components ``found``, from all pairs of saturated vectors of a label.
+
+        A link that neither end's list shows has two saturated ends. Components of a block or more have blocks of their
+        own, which are not compared with each other; smaller ones share blocks.
+        """
+        full = graph.where(F.col("cos") >= self.threshold - 1e-4).groupBy("a").count().where(F.col("count") >= NEIGHBOURS).select(F.col("a").alias("node"))
+        mine = full.join(found, "node").join(self.node.select(F.col("id").alias("node"), "part"), "node")
+        size = mine.groupBy("part", "component").agg(F.count("*").alias("size"))
+        small = size.where(F.col("size") < CROSS_BLOCK).groupBy("part").agg(F.ceil(F.sum("size") / CROSS_BLOCK).cast("int").alias("shared"))
+        own = F.when(F.col("size") >= CROSS_BLOCK, F.col("component"))
+        chunk = F.when(own.isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CROSS_BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
+        dealt = mine.join(size, ["part", "component"]).join(small, "part", "left").select("node", "part", "component", own.alias("own"), chunk.cast("long").alias("chunk"))
+        # the part, its component (-1: shared) and the chunk name a block
+        dealt = self.scratch.keep(dealt.withColumn("block", F.concat_ws("/", "part", F.coalesce("own", F.lit(-1)), "chunk")), "saturated")
+        blocks = dealt.select("part", "own", "block").distinct()
+        other = blocks.select("part", F.col("own").alias("other"), F.col("block").alias("j"))
+        apart = F.col("own").isNull() | F.col("other").isNull() | (F.col("own") != F.col("other"))
+        pairs = blocks.join(other, "part").where((F.col("block") <= F.col("j")) & apart).select(F.col("block").alias("i"), "j")
+        asked = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+        held = dealt.select(F.col("node").alias("id"), "component", "block").join(self.node.select("id", "vec"), "id")
+        return asked.join(held, "block").groupBy("i", "j").applyInPandas(_cross_block(self.threshold), "a long, b long")
+
     def audit(self, turn: int, n: int = AUDITED) -> DataFrame:
         """Links of the ``n`` vectors of the smallest hash in this turn, by comparison with all vectors of their label."""
         asked = self.node.select("id", "part", "vec").orderBy(F.xxhash64(F.lit(turn), "id"), "id").limit(n).collect()
@@ -262,6 +301,10 @@ class VectorSearch:
             pairs = graph.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             edges = self.scratch.keep(self.exact(pairs), "edges")
             found = self.scratch.keep(components(self.spark, edges, self.scratch), "components")
+            cross = self.scratch.keep(self.across(graph, found), "across")
+            if not cross.isEmpty():
+                edges = edges.union(cross)
+                found = self.scratch.keep(components(self.spark, edges, self.scratch), "components")
             one = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
             two = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
             audited = self.audit(more)

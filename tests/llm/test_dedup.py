@@ -140,6 +140,22 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
         assert (r.n_links, r.component_id, r.kept) == (links[r.vec_id], want[r.vec_id], want[r.vec_id] == r.vec_id)
 
 
+@pytest.mark.parametrize("block", [V.CROSS_BLOCK, 16])
+def test_tight_groups_joined_by_weaker_links_are_one_component(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "CROSS_BLOCK", block)
+    monkeypatch.setattr(V.VectorSearch, "audit", lambda self, *a: self.spark.createDataFrame([], "a long, b long"))  # no help from it
+    r = np.random.default_rng(11)
+    one, two, far = np.eye(16)[0], 0.93 * np.eye(16)[0] + np.sqrt(1 - 0.93**2) * np.eye(16)[1], np.eye(16)[2]
+    data = [v + r.normal(size=16) * 0.004 for v in (one, two, far) for _ in range(40)]
+    unit = [np.float32(v) / np.linalg.norm(np.float32(v)) for v in data]
+    pairs = [(a, b) for a in range(120) for b in range(a) if unit[a] @ unit[b] >= 0.93]
+    assert min(unit[a] @ unit[b] for a in range(40) for b in range(40)) > max(unit[a] @ unit[b] for a in range(40) for b in range(40, 80))
+    want, links = lowest(pairs, range(120)), Counter(x for p in pairs for x in p)
+    assert set(want.values()) == {0, 80}
+    df = spark.createDataFrame([(i, [float(x) for x in np.float32(v)], 1) for i, v in enumerate(data)], "vec_id long, embedding array<float>, label int")
+    assert {x.vec_id: (x.n_links, x.component_id) for x in V.near_duplicate_vectors(df).collect()} == {i: (links[i], want[i]) for i in want}
+
+
 def test_a_failed_audit_searches_until_the_found_edges_suffice_or_fails(spark, monkeypatch):
     df = spark.createDataFrame([x for x in vectors() if x[0] < 1000], "vec_id long, embedding array<float>, label int")
     want = sorted(map(tuple, V.near_duplicate_vectors(df).collect()))
