@@ -1,9 +1,11 @@
 """Sharding by balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
-Documents are dealt to shards by rank, so counts differ by one at most. Then, in rounds, every document of a group wants
-the shard in which most of its group lies. How many may go from each shard to each other is settled on the matrix of
-wishes (shards x shards numbers): movers that come in are balanced by movers that go out and by documents without links,
-which have nothing to lose. So every round cuts fewer links and no round changes a shard's count.
+Documents are dealt to shards by rank, so counts differ by one at most. Groups that are a notable part of a shard come
+first, one after the other, so that each fills as few shards as hold it, and stay there. Then, in rounds, every other
+document of a group wants the shard in which most of its group lies. How many may go from each shard to each other is
+settled on the matrix of wishes (shards x shards numbers): movers that come in are balanced by movers that go out and by
+documents without links, which have nothing to lose. A shard that had to refuse some is closed: what lies there stays, and
+the rest of a group wants the next fullest shard. So every round cuts fewer links and no round changes a shard's count.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql.window import Window
 from gritstone.llm.store import Scratch
 
 SHARDS = 24
-ROUNDS = 4
+ROUNDS = 64  # at most; rounds end when nobody moves
+LARGE = 8  # a group of a shard's rows divided by this is dealt first
 SALTS = 64  # tasks that number the rows of one label
 
 
@@ -82,18 +85,31 @@ def _target(quota: list[list[int]]) -> Column:
 def balanced_labels(links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(row, group, shard) for rows of (row, group), row unique; rows without a group have no links.
 
-    Shard counts differ by one at most. A group larger than a shard fills several.
+    Shard counts differ by one at most. A group larger than a shard fills several, one after the other.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "sharding")
-    sizes = links.where("`group` is not null").groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
+    rest, more = divmod(links.count(), shards)  # rows of a shard; so many shards have one more
+    sizes = scratch.keep(links.where("`group` is not null").groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    large, first = [], 0
+    for r in sizes.where(F.col("size") * LARGE >= rest).orderBy(F.desc("size"), "group").collect():  # LARGE x (shards + 1) rows at most, but for tiny tables
+        large.append((r["group"], first))
+        first += r["size"]
+    large = spark.createDataFrame(large, links.select(F.col("group").alias("g"), F.lit(0).cast("long").alias("first")).schema)
     linked = links.join(sizes.select(F.col("group").alias("g")), F.col("group") == F.col("g"), "left").drop("group")
-    start = numbered(linked, [], ["row"], "rank").select("row", F.col("g").alias("group"), (F.col("rank") % shards).cast("int").alias("shard"))
-    now = scratch.keep(start, "dealt")
+    linked = scratch.keep(linked.join(F.broadcast(large), "g", "left").select("row", F.col("g").alias("group"), "first"), "linked")
+    ahead = numbered(linked.where("first is not null"), ["group"], ["row"], "n").withColumn("rank", F.col("first") + F.col("n"))
+    behind = numbered(linked.where("first is null"), [], ["row"], "n").withColumn("rank", F.col("n") + first)
+    wide = more * (rest + 1)  # rows of the shards that have one more
+    shard = F.when(F.col("rank") < wide, F.floor(F.col("rank") / (rest + 1))).otherwise(more + F.floor((F.col("rank") - wide) / max(rest, 1)))
+    dealt = ahead.select("row", "group", "first", "rank").union(behind.select("row", "group", "first", "rank"))
+    now = scratch.keep(dealt.select("row", "group", F.col("first").isNotNull().alias("stays"), shard.cast("int").alias("shard")), "dealt")
+    closed: set[int] = set()
     for _ in range(rounds):
-        members = now.where("`group` is not null")
+        members = now.where("`group` is not null and not stays")
+        members = members.where(~F.col("shard").isin(sorted(closed))) if closed else members
         most = members.groupBy("group", "shard").agg(F.count("*").alias("size")).groupBy("group")
-        most = most.agg(F.max_by("shard", F.struct("size", -F.col("shard"))).alias("to"))
+        most = most.agg(F.max_by("shard", F.struct("size", F.xxhash64("group", "shard"))).alias("to"))
         moving = scratch.keep(members.join(most, "group").where("shard <> to").select("row", "group", "shard", "to"), "wishes")
         wish = [[0] * shards for _ in range(shards)]
         for r in moving.groupBy("shard", "to").count().collect():  # shards x shards numbers at most
@@ -104,19 +120,21 @@ def balanced_labels(links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS
         for r in now.where("`group` is null").groupBy("shard").count().collect():
             free[r["shard"]] = r["count"]
         move, fill = settle(wish, free)
+        closed |= {j for j in range(shards) if any(move[i][j] < wish[i][j] for i in range(shards))}
         if not any(map(any, move)):
-            break
+            scratch.drop(moving)
+            continue  # a shard was closed
         quota = spark.createDataFrame([(i, j, move[i][j]) for i in range(shards) for j in range(shards)], "shard int, to int, quota long")
         # whole groups first: rows of a group are numbered together as far as their salt allows
         going = numbered(moving, ["shard", "to"], ["group", "row"], "n").join(F.broadcast(quota), ["shard", "to"])
         going = going.where("n < quota").select("row", "to")
         loose = numbered(now.where("`group` is null").select("row", "shard"), ["shard"], ["row"], "n")
         loose = loose.withColumn("to", _target(fill)).where("`to` is not null").select("row", "to")
-        after = now.join(going.union(loose), "row", "left").select("row", "group", F.coalesce("to", "shard").alias("shard"))
+        after = now.join(going.union(loose), "row", "left").select("row", "group", "stays", F.coalesce("to", "shard").alias("shard"))
         after = scratch.keep(after, "labels")
         scratch.drop(now, moving)
         now = after
-    return now
+    return now.drop("stays")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:

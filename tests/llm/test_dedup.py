@@ -199,6 +199,16 @@ def test_shards_are_even_and_groups_together(spark, shards):
     assert sum(len(places[t]) > 1 for t in small) <= len(small) // 4
 
 
+@pytest.mark.parametrize("hot", [240, 20])
+def test_hot_groups_fill_as_few_shards_as_hold_them(spark, hot):
+    data = [f"hot {i}" for i in range(480 // hot) for _ in range(hot)] + [f"copy {i % 60}" for i in range(120)] + [f"text {i}" for i in range(120)]
+    random.Random(6).shuffle(data)
+    rows = H.shard_documents(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()
+    assert len(rows) == 720 and set(Counter(x.shard for x in rows).values()) == {30}
+    places = {t: {x.shard for x in rows if data[x.doc_id] == t} for t in set(data)}
+    assert all(len(p) <= -(-hot // 30) + 1 for t, p in places.items() if t.startswith("hot"))
+
+
 def test_settling_moves_keeps_counts():
     r = random.Random(4)
     for _ in range(50):
