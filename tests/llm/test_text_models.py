@@ -160,6 +160,12 @@ PAGE = (
         ("<article><p>cut off", "cut off"),
         ("<article><p>x<footer>no</footer>", "x"),
         ('<main role="main"><p>in main</p></main>', "in main"),
+        ('<div class="layout has-sidebar"><article><p>a</p></article></div>', "a"), ('<div class="no-sidebar"><p>a</p></div>', "a"),
+        ('<div class="content-sidebar-wrap page with-banner"><main>a</main></div>', "a"), ('<div class="widget"><article>a<p class="ad">b</p></article></div>', "a"),
+        ('<article><p id="related-work">a</p><p aria-label="Share of the market">b</p><p aria-label="Share">c</p></article>', "a b"),
+        ('<article>a</article><article class="comment">b</article><div id="comments"><article>c</article></div><div class="sidebar"><article>d</article></div>', "a"),
+        ('<div>a</div><div id="comments"><article>c</article></div><article class="comment-body">d</article><div class="cookie-notice">e</div>', "a"),
+        ('<div>a<span class="ad">b<p>c</p></span></div>', "a"),
         (None, ""), ("", ""), ("just text", "just text"), ("<!-- <article>no</article> -->", ""), ("<article>" + "<p>w</p>" * 5000 + "</article>", " ".join(["w"] * 5000)),
     ],
 )
