@@ -183,6 +183,17 @@ def test_pages_without_article_lose_what_they_share_with_their_neighbour(spark):
     assert W.main_text(df.where("false")).count() == 0
 
 
+def test_copies_without_article_do_not_delete_each_other(spark):
+    page = lambda body: f"<div>Our site</div>{body}<div>About us</div>"
+    long = f"<p>{'some own words ' * 20}</p>"
+    rows = [(i, f"http://h/a/x?id={i}", page(long)) for i in range(3)] + [(3, "http://h/a/x", page(long + "<p>17 views</p>")), (4, "http://h/b/y", page("<p>other</p>")), (5, "http://h/b/yz", page("<p>more</p>"))]
+    rows += [(i, None, "<p>copy</p>") for i in (6, 7)] + [(8, "http://k/z", page("<p>one</p>")), (9, "http://k/z", page("<p>one</p>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    own = " ".join(("some own words " * 20).split())
+    want = {0: own, 1: own, 2: own, 3: f"{own} 17 views", 4: "other", 5: "more", 6: "copy", 7: "copy", 8: "Our site one About us", 9: "Our site one About us"}
+    assert {r.page_id: r.text for r in W.main_text(df).collect()} == want
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     r = random.Random(8)
     for _ in range(200):
