@@ -27,6 +27,7 @@ from gritstone.llm.store import let_workers_import
 ORDER = 4
 TRAIN_ROWS = 300  # documents for each language, at most
 TRAIN_BYTES = 1 << 16  # of one of them, at most
+SLICES = 16  # of a longer one, spread over its whole length
 SEGMENT = 1 << 17  # bytes scored at once
 BATCH_ROWS = 500
 UNDETERMINED = "und"
@@ -151,23 +152,32 @@ class Model:
         return out
 
 
+def slices(padded: bytes, order: int) -> list[bytes]:
+    """A padded text, or SLICES parts of a long one from its start to its end, each with the context of its first byte."""
+    size, width = len(padded) - order, TRAIN_BYTES // SLICES
+    if size <= TRAIN_BYTES:
+        return [padded]
+    return [padded[a : a + order + width] for a in ((size - width) * i // (SLICES - 1) for i in range(SLICES))]
+
+
 def fit(labelled: DataFrame, order: int = ORDER, rows: int = TRAIN_ROWS) -> Model:
     """Trees from at most ``rows`` documents of each language, those of the smallest hash of doc_id.
 
-    ``labelled`` has doc_id, text and lang. Rows without label, id or letters, and texts of more than TRAIN_BYTES, do not
-    train. Grams are counted by Spark; their number is bounded by the sample's bytes.
+    ``labelled`` has doc_id, text and lang. Rows without label, id or letters are not counted among them; of a text of more
+    than TRAIN_BYTES, SLICES slices train, spread over its whole length and that long together. Grams are counted by Spark; their number is bounded by the sample's bytes.
     """
     let_workers_import(labelled.sparkSession)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang")
+    chosen = labelled.where("lang is not null and doc_id is not null").where(has_letter(F.col("text"))).select("doc_id", "lang")
     chosen = chosen.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= rows).select("doc_id", F.col("lang").alias("__l"))
     sample = labelled.join(F.broadcast(chosen.distinct()), "doc_id").where(F.col("lang") == F.col("__l"))
-    sample = sample.where(has_letter(F.col("text")) & (F.octet_length("text") <= TRAIN_BYTES)).select("lang", "text")
+    sample = sample.where(has_letter(F.col("text"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key, n = np.unique(grams(np.frombuffer(PAD * order + folded(text), np.uint8), order + 1), return_counts=True)
+                parts = [grams(np.frombuffer(p, np.uint8), order + 1) for p in slices(PAD * order + folded(text), order)]
+                key, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(key)), pa.array(key.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"]
                 )

@@ -76,6 +76,19 @@ def test_held_out_texts_are_told_apart(spark):
     assert {r.lang_pred for r in L.predict(df, none).collect()} == {"und"}
 
 
+def test_long_texts_train_and_texts_without_letters_take_no_place(spark):
+    words = {"aa": "kiva lomu ", "bb": "strech glypt "}
+    rows = [(i, words["aa"] * 20_000, "aa") for i in range(4)] + [(10 + i, words["bb"] * 5 if i == 30 else "12 !", "bb") for i in range(40)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=3)
+    assert model.langs == ["aa", "bb"]
+    got = L.predict(spark.createDataFrame([(1, "lomu kiva"), (2, "glypt strech")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "aa", 2: "bb"}
+    text = bytes(range(256)) * 1000
+    parts = L.slices(L.PAD * 4 + text, 4)
+    assert sum(len(p) - 4 for p in parts) == L.TRAIN_BYTES and parts[0][4:] == text[: len(parts[0]) - 4] and parts[-1] == text[-len(parts[-1]) :]
+    assert L.slices(L.PAD * 4 + b"short", 4) == [L.PAD * 4 + b"short"]
+
+
 def test_held_out_ids(spark):
     rows = spark.range(200).select("id", L.is_held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
