@@ -10,6 +10,15 @@ from gritstone.llm.store import Scratch
 MAX_ROUNDS = 60
 
 
+def dealt_again(sums: DataFrame, key: str) -> DataFrame:
+    """``sums``, one row for each ``key``, as rows that a join must shuffle by itself.
+
+    A join that shares the shuffle of an aggregate keeps all rows of a key in one task; with shuffles of its own on
+    both sides, adaptive execution splits a key that many rows of the other side have.
+    """
+    return sums.withColumn(key, F.col(key) + F.lit(0).cast("long"))
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 
@@ -24,11 +33,11 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     before = None
     for _ in range(MAX_ROUNDS):
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = dealt_again(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "a")
         large = (
             both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = dealt_again(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = (
             large.join(least, "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))

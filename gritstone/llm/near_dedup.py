@@ -5,8 +5,9 @@ same minima, folded into a parity bitmap (the odd sketch), give an estimate of s
 XOR of two bitmaps, which turns most false candidates away; the rest are confirmed on the full shingle sets.
 
 A bucket of a band never gives all its pairs. Each member meets the smallest and the largest id of its bucket; once those
-links are contracted, only members of different components still have to meet. In a bucket with many components they do
-so in blocks, on finer odd sketches, and only the few pairs that pass leave the task.
+links are contracted, only members of different components still have to meet. They do so inside tasks, in blocks of
+bounded size and on finer odd sketches; of the pairs that pass, the best few of each two components leave the task. Where
+those don't link the two though others passed, their members are compared on full sets, again in blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.llm.graph import components
+from gritstone.llm.graph import components, dealt_again
 from gritstone.llm.shingles import mix, shingle_sets
 from gritstone.llm.store import Scratch, let_workers_import
 
@@ -29,12 +30,13 @@ WORDS = 8  # of 64 bits, in an odd sketch
 PERCENT = 75
 #: Pairs estimated below this go; at 0.75 the estimate is five standard deviations above.
 ESTIMATE = 0.5
-#: Components in a bucket up to which their members are joined; beyond, they are compared in blocks on fine sketches.
-SMALL_BUCKET = 24
 FINE_MINHASHES, FINE_WORDS = 1024, 64
 #: Pairs estimated below this on fine sketches go; at 0.75 the estimate is five standard deviations above.
 FINE_ESTIMATE = 0.667
 BLOCK = 512  # members of a bucket in a block
+BEST = 4  # pairs of two components that leave a task; where none of them links the two, full sets decide
+SET_BLOCK = 1 << 18  # shingles of a component in a block of full sets
+PAIRS_AT_ONCE = 1 << 18
 #: Ids up to which the set of candidate documents is sent to every task (12 bytes each); beyond, texts are shuffled.
 MAX_SENT_IDS = 1_000_000
 BATCH_ROWS = 1000
@@ -91,6 +93,10 @@ def most_ones(similarity: float, minhashes: int, words: int) -> int:
 SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"
 
 
+def _print(hashes: np.ndarray) -> int:
+    return int(mix(hashes).sum(dtype=np.uint64).view(np.int64))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):
@@ -99,7 +105,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = [s for s in sets if len(s)]
             minima = signatures(full)
             bands, sketch = iter(band_keys(minima).view(np.int64)), iter(odd_sketch(minima).view(np.int64))
-            fp = [(int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64).view(np.int64))) for s in sets]
+            fp = [(_print(s), _print(s ^ np.uint64(0xABCDEF))) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in fp]), pa.array([x[1] for x in fp]),
@@ -117,7 +123,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(texts.to_pylist())
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             values = pa.LargeListArray.from_arrays(np.cumsum([0] + [len(s) for s in sets]), flat).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, values], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([_print(s) for s in sets], pa.int64()), values], ["doc_id", "fp", "hashes"])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,41 +132,67 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts = batch.slice(at, SET_ROWS).columns
             full = [(i, s) for i, s in zip(ids.to_pylist(), shingle_sets(texts.to_pylist()), strict=True) if len(s)]
             sketch = odd_sketch(signatures([s for _, s in full], FINE_MINHASHES), FINE_WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int64()), pa.array([r.tobytes() for r in sketch], pa.binary())], ["doc_id", "fine"])
+            ids, prints = pa.array([i for i, _ in full], pa.int64()), pa.array([_print(s) for _, s in full], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, prints, pa.array([r.tobytes() for r in sketch], pa.binary())], ["rep", "fp", "fine"])
 
 
-def _meet(percent: int):
+def _compare(percent: int):
     coarse, fine = most_ones(ESTIMATE, MINHASHES, WORDS), most_ones(FINE_ESTIMATE, FINE_MINHASHES, FINE_WORDS)
 
-    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """(a, b) of block i and block j of a bucket that may be similar; a pair leaves only the first bucket it shares."""
-        bucket, i, j = key
-        left, right = rows[rows["chunk"] == i], rows[rows["chunk"] == j]
-        ids = [p["rep"].to_numpy() for p in (left, right)]
-        n = [p["n"].to_numpy() for p in (left, right)]
-        part = [p["component"].to_numpy() for p in (left, right)]
-        light = [np.array(p["sketch"].tolist(), np.int64).reshape(len(p), WORDS) for p in (left, right)]
-        heavy = [np.frombuffer(b"".join(p["fine"]), np.uint64).reshape(len(p), FINE_WORDS) for p in (left, right)]
-        keys = [[frozenset(k) for k in p["keys"]] for p in (left, right)]
-        out: list[np.ndarray] = []
-        for at in range(0, len(left), 64):
-            rows_ = slice(at, at + 64)
-            ones = np.bitwise_count(light[0][rows_, None, :] ^ light[1][None]).sum(2, dtype=np.int32)
-            least = np.minimum(n[0][rows_, None], n[1][None])
-            sized = least * 100 >= np.maximum(n[0][rows_, None], n[1][None]) * percent
-            meets = (ones <= coarse) & sized & (part[0][rows_, None] != part[1][None])
-            if i == j:
-                meets &= ids[0][rows_, None] < ids[1][None]
-            a, b = np.nonzero(meets)
-            a += at
-            for cut in range(0, len(a), 20_000):
-                x, y = a[cut : cut + 20_000], b[cut : cut + 20_000]
-                near = np.bitwise_count(heavy[0][x] ^ heavy[1][y]).sum(1, dtype=np.int32) <= fine
-                out += [np.array([ids[0][p], ids[1][q]]) for p, q in zip(x[near], y[near], strict=True) if min(keys[0][p] & keys[1][q]) == bucket]
-        pairs = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return meet
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs that may be similar, of different components, in each cell (key, i, j) of a bucket's blocks.
+
+        Between two components only the BEST pairs with the fewest ones leave; ``more`` says that there were others.
+        """
+        rows = rows.sort_values(["key", "i", "j", "right", "rep"], ignore_index=True)
+        key, i, j, right, rep, n, part = (rows[c].to_numpy() for c in ("key", "i", "j", "right", "rep", "n", "component"))
+        light = np.array(rows["sketch"].tolist(), np.int64).reshape(len(rows), WORDS).view(np.uint64)  # ones of negative numbers are those of their absolute value
+        heavy = np.frombuffer(b"".join(rows["fine"]), np.uint64).reshape(len(rows), FINE_WORDS)
+        place = np.arange(len(rows))
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        cell = np.searchsorted(first, place, "right") - 1
+        ends, lefts = np.append(first[1:], len(rows))[cell], np.add.reduceat((~right).astype(np.int64), first)[cell]
+        begin = np.where(i == j, place + 1, first[cell] + lefts)  # a row's partners are the rows from here to its cell's end
+        todo = np.where(right, 0, ends - begin)
+        upto = np.cumsum(todo)
+        out, at = [], 0
+        while at < len(rows):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            counts = todo[at:stop]
+            x = np.repeat(place[at:stop], counts)
+            y = np.repeat(begin[at:stop] - np.cumsum(counts) + counts, counts) + np.arange(len(x))
+            good = (part[x] != part[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+            x, y = x[good], y[good]
+            good = np.bitwise_count(light[x] ^ light[y]).sum(1, dtype=np.int32) <= coarse
+            x, y = x[good], y[good]
+            for cut in range(0, len(x), 20_000):
+                p, q = x[cut : cut + 20_000], y[cut : cut + 20_000]
+                ones = np.bitwise_count(heavy[p] ^ heavy[q]).sum(1, dtype=np.int32)
+                p, q, ones = p[ones <= fine], q[ones <= fine], ones[ones <= fine]
+                out.append(np.column_stack((np.sort(np.column_stack((rep[p], rep[q])), 1), np.sort(np.column_stack((part[p], part[q])), 1), ones)))
+            at = stop
+        found = pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 5), np.int64), columns=["a", "b", "ca", "cb", "ones"]).drop_duplicates(["a", "b"])
+        of = found.sort_values(["ca", "cb", "ones", "a", "b"]).groupby(["ca", "cb"])
+        best = of.head(BEST).copy()
+        best["more"] = of["a"].transform("size").loc[best.index] > BEST
+        return best[["a", "b", "ca", "cb", "more"]]
+
+    return compare
+
+
+def _first_link(percent: int):
+    def first_link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """One link (a, b), if there is any, between the two components of a group, on full sets."""
+        left, right = ([(int(r), np.asarray(h, np.int64)) for r, h in zip(p["rep"], p["hashes"], strict=True)] for p in (rows[~rows["right"]], rows[rows["right"]]))
+        for a, x in left:
+            for b, y in right:
+                if min(len(x), len(y)) * 100 >= max(len(x), len(y)) * percent:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if common * 100 >= (len(x) + len(y) - common) * percent:
+                        return pd.DataFrame({"a": [min(a, b)], "b": [max(a, b)]})
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+    return first_link
 
 
 class NearDuplicates:
@@ -170,81 +202,115 @@ class NearDuplicates:
         self.spark = docs.sparkSession
         let_workers_import(self.spark)
         self.percent = percent
+        self.tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # for groups that take time, though they are small
         self.scratch = Scratch(self.spark, "near-dedup")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sign(self) -> None:
         self.signed = self.scratch.keep(self.docs.mapInArrow(_sign, SIGNED), "signed")
         named = self.signed.where("doc_id is not null and n_shingles > 0")
-        self.classes = self.scratch.keep(named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-        of = self.classes.select("fp1", "fp2", F.col("rep").alias("doc_id"))
-        reps = named.join(of, ["fp1", "fp2", "doc_id"], "left_semi")
-        self.reps = self.scratch.keep(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "reps")
+        one = {c: F.any_value(c) for c in ("n_shingles", "bands", "sketch")}  # equal for all rows of a class
+        reps = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), one["n_shingles"].alias("n"), one["bands"].alias("bands"), one["sketch"].alias("sketch"))
+        self.reps = self.scratch.keep(reps, "reps")
 
     def buckets(self) -> DataFrame:
-        """(key, rep, n, lo, hi, members) of every bucket with two classes or more."""
-        banded = self.reps.select(F.explode("bands").alias("key"), "rep", "n").repartition("key")
-        ends = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("members"))
-        return banded.join(ends.where("lo < hi"), "key")
-
-    def confirmed(self, pairs: DataFrame, name: str, passed: DataFrame | None = None) -> DataFrame:
-        """The (a, b) of ``pairs`` that are similar enough, by sketch and then on the full sets.
+        """(key, rep, n, lo, hi) of every bucket with two classes or more.
 
-        Pairs in ``passed`` have been held against their sketches before and go to the full sets at once.
+        The ends are aggregated before they are dealt out, and the rows of a large bucket can be split.
         """
-        light = self.reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
-        of = lambda x: light.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        banded = self.reps.select(F.explode("bands").alias("key"), "rep", "n")
+        ends = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+        return banded.join(dealt_again(ends, "key"), "key")
+
+    def texts_of(self, ids: DataFrame, name: str) -> DataFrame:
+        """The documents of ``ids`` (doc_id)."""
+        ids = self.scratch.keep(ids.distinct(), name)
+        return self.docs.join(F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids, "doc_id", "left_semi")
+
+    def sets_of(self, ids: DataFrame, name: str) -> DataFrame:
+        """(doc_id, hashes) of the documents of ``ids``; repeated rows are one."""
+        sets = self.texts_of(ids, f"{name}-ids").mapInArrow(_sets, "doc_id long, fp long, hashes array<long>")
+        return self.scratch.keep(sets.dropDuplicates(["doc_id", "fp"]).drop("fp"), f"{name}-sets")
+
+    def promising(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs`` whose sizes and odd sketches allow a link."""
+        of = lambda x: self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         ones = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WORDS)), F.lit(0))
-        near = (
-            pairs.join(of("a"), "a").join(of("b"), "b")
-            .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
-            .where(estimate_from_ones(ones) >= ESTIMATE)
-        )
-        near = near.select("a", "b")
-        near = self.scratch.keep(near if passed is None else near.union(passed).distinct(), f"{name}-near")
-        ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        ids = self.scratch.keep(ids, f"{name}-ids")
-        sent = F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids
-        sets = self.scratch.keep(self.docs.join(sent, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes array<long>"), f"{name}-sets")
+        both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
+        return both.where(estimate_from_ones(ones) >= ESTIMATE).select("a", "b")
+
+    def confirmed(self, near: DataFrame, name: str) -> DataFrame:
+        """The (a, b) of ``near``, a written table, that are similar enough on the full sets."""
+        sets = self.sets_of(near.select(F.col("a").alias("doc_id")).union(near.select("b")), name)
         whole = lambda x: sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"h{x}"))
         both = near.join(whole("a"), "a").join(whole("b"), "b")
-        common = F.size(F.array_intersect("ha", "hb"))
-        links = both.withColumn("common", common).withColumn("whole", F.size("ha") + F.size("hb") - F.col("common"))
+        links = both.withColumn("common", F.size(F.array_intersect("ha", "hb"))).withColumn("whole", F.size("ha") + F.size("hb") - F.col("common"))
         links = self.scratch.keep(links.where(F.col("common") * 100 >= F.col("whole") * self.percent).select("a", "b").distinct(), f"{name}-links")
-        self.scratch.drop(sets)
+        self.scratch.drop(sets, near)
         return links
 
-    def _across(self, rows: DataFrame, key: str) -> DataFrame:
-        """(a, b) of different components that share a ``key``; rows has key, rep, n and component.
+    def dealt(self, open_: DataFrame) -> DataFrame:
+        """Rows of open buckets (key, rep, n, component), dealt to cells (key, i, j) of two blocks; small buckets are one cell.
 
-        Within a key, only members outside its largest component are joined to the others, so that a large group of
-        copies does not meet itself.
+        A component that fills more than a block has blocks of its own, which do not meet each other; the rest of its
+        bucket meets all blocks.
         """
-        count = rows.groupBy(key, "component").agg(F.count("*").alias("size"))
-        main = count.groupBy(key).agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
-        rows = rows.join(main.where("parts > 1"), key)
-        rest = rows.where("component <> main").select(key, F.col("rep").alias("r"), F.col("n").alias("m"), F.col("component").alias("c"))
-        sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent
-        met = rows.join(rest, key).where((F.col("component") != F.col("c")) & sized)
-        return met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
-
-    def _blocks(self, open_: DataFrame) -> DataFrame:
-        """(a, b) of different components that share a large bucket and may be similar by their fine sketches.
-
-        A bucket is dealt to blocks of about BLOCK members by hash, and each pair of blocks is one group.
+        size = open_.groupBy("key", "component").agg(F.count("*").alias("size"))
+        main = size.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("members"))
+        apart = F.col("most") > BLOCK
+        own = F.when(apart, F.ceil(F.col("most") / BLOCK)).otherwise(0).cast("int")
+        rest = F.ceil((F.col("members") - F.when(apart, F.col("most")).otherwise(0)) / BLOCK).cast("int")
+        main = main.select("key", F.when(apart, F.col("main")).alias("main"), own.alias("own"), rest.alias("rest"))
+        rows = open_.join(dealt_again(main, "key"), "key")
+        inside = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+        dealt = F.xxhash64("rep")
+        rows = rows.withColumn("chunk", F.when(inside, F.pmod(dealt, F.col("own"))).otherwise(F.col("own") + F.pmod(dealt, F.col("rest"))).cast("int"))
+        others = F.sequence(F.when(inside, F.col("own")).otherwise(0), F.col("own") + F.col("rest") - 1)
+        rows = rows.withColumn("other", F.explode(others)).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+        rows = rows.withColumn("right", (F.col("i") != F.col("j")) & (F.col("chunk") == F.col("j")))
+        return rows.withColumn("alone", F.col("own") + F.col("rest") > 1).select("key", "i", "j", "right", "alone", "rep", "n", "component")
+
+    def across(self, open_: DataFrame) -> DataFrame:
+        """(a, b, ca, cb, more): pairs of different components in a bucket that may be similar by their fine sketches."""
+        fine = self.texts_of(open_.select(F.col("rep").alias("doc_id")), "open-ids").mapInArrow(_fine, "rep long, fp long, fine binary").dropDuplicates(["rep", "fp"])
+        members = self.scratch.keep(fine.drop("fp").join(self.reps.select("rep", "sketch"), "rep"), "members")
+        groups = max(1, open_.count() // (8 * BLOCK))
+        group = F.when(F.col("alone"), F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups)))
+        rows = self.dealt(open_).withColumn("group", group).join(members, "rep")
+        found = rows.repartition(self.tasks, "group").groupBy("group").applyInPandas(_compare(self.percent), "a long, b long, ca long, cb long, more boolean")
+        found = self.scratch.keep(found, "across")
+        self.scratch.drop(members)
+        return found
+
+    def settled(self, apart: DataFrame, named: DataFrame) -> DataFrame:
+        """(a, b): a link between each two components of ``apart`` (ca, cb) that have one, by full sets.
+
+        ``named`` has rep, n and component. Members are dealt to blocks of about SET_BLOCK shingles, and each two blocks
+        are one group that gives one link at most.
         """
-        of = open_.groupBy("rep", "n", "component").agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
-        ids = self.scratch.keep(of.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
-        sent = F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids
-        fine = self.docs.join(sent, "doc_id", "left_semi").mapInArrow(_fine, "rep long, fine binary").dropDuplicates(["rep"])
-        light = self.reps.select("rep", "sketch").dropDuplicates(["rep"])
-        members = self.scratch.keep(of.join(light, "rep").join(fine, "rep"), "members")
-        chunks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-        rows = members.withColumn("key", F.explode("keys")).join(chunks, "key")
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "chunks")
-        return rows.groupBy("key", "i", "j").applyInPandas(_meet(self.percent), "a long, b long").distinct()
+        asked = apart.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
+        members = self.scratch.keep(named.join(asked, "component"), "apart")
+        size = members.groupBy("component").agg(F.ceil(F.sum("n") / SET_BLOCK).cast("int").alias("chunks"))
+        members = members.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        size = self.scratch.keep(size, "apart-sizes")
+        other = lambda c: size.select(F.col("component").alias(c), (F.col("chunks") - 1).alias("last"))
+        sides = []
+        for mine, theirs, right in (("ca", "cb", False), ("cb", "ca", True)):
+            side = apart.join(other(theirs), theirs).join(members.withColumnRenamed("component", mine), mine)
+            side = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+            i, j = ("other", "chunk") if right else ("chunk", "other")
+            sides.append(side.select("ca", "cb", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(right).alias("right"), "rep"))
+        sets = self.sets_of(members.select(F.col("rep").alias("doc_id")), "apart").withColumnRenamed("doc_id", "rep")
+        rows = sides[0].union(sides[1]).join(sets, "rep")
+        found = rows.repartition(self.tasks, "ca", "cb", "i", "j").groupBy("ca", "cb", "i", "j").applyInPandas(_first_link(self.percent), "a long, b long")
+        return self.scratch.keep(found, "settled")
+
+    def joined(self, found: DataFrame, links: DataFrame) -> DataFrame:
+        """The components ``found`` after more links."""
+        if links.isEmpty():
+            return found
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return self.scratch.keep(components(self.spark, stars.union(links), self.scratch), "components")
 
     def run(self) -> DataFrame:
         """(node, component) of every class that is linked with another."""
@@ -252,20 +318,26 @@ class NearDuplicates:
         buckets = self.scratch.keep(self.buckets(), "buckets")
         ends = buckets.select(F.explode(F.array("lo", "hi")).alias("b"), F.col("rep").alias("a")).where("a <> b")
         pairs = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = self.confirmed(pairs, "ends")
+        links = self.confirmed(self.scratch.keep(self.promising(pairs), "ends-near"), "ends")
         found = self.scratch.keep(components(self.spark, links, self.scratch), "components")
         # members that neither end of their bucket resembles
-        named = found.select(F.col("node").alias("rep"), "component")
-        open_ = buckets.where("members > 3").select("key", "rep", "n").join(named, "rep", "left")
-        open_ = open_.withColumn("component", F.coalesce("component", "rep"))
-        parts = open_.groupBy("key").agg(F.countDistinct("component").alias("parts")).where("parts > 1")
-        open_ = self.scratch.keep(open_.join(parts, "key"), "open")
+        of = found.select(F.col("node").alias("rep"), "component")
+        open_ = buckets.select("key", "rep", "n").join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        parts = open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        open_ = self.scratch.keep(open_.join(dealt_again(parts, "key"), "key"), "open")
         self.scratch.drop(buckets)
-        small = self._across(open_.where(F.col("parts") <= SMALL_BUCKET).drop("parts"), "key")
-        large = self._blocks(open_.where(F.col("parts") > SMALL_BUCKET).drop("parts"))
-        again = self.confirmed(small, "more", large)
-        self.links = links.union(again)
-        return self.scratch.keep(components(self.spark, self.links, self.scratch), "components")
+        pairs = self.across(open_)
+        after = self.joined(found, self.confirmed(self.scratch.keep(pairs.select("a", "b").distinct(), "across-near"), "across"))
+        # where more pairs passed between two components than were confirmed, and none linked them
+        name = lambda c: after.select(F.col("node").alias(c), F.col("component").alias(f"{c}_now"))
+        cut = pairs.where("more").select("ca", "cb").distinct().join(name("ca"), "ca", "left").join(name("cb"), "cb", "left")
+        apart = cut.where(F.coalesce("ca_now", "ca") != F.coalesce("cb_now", "cb")).select("ca", "cb")
+        apart = self.scratch.keep(apart, "apart-pairs")
+        if not apart.isEmpty():
+            named = self.reps.select("rep", "n").join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            after = self.joined(after, self.settled(apart, named))
+        self.scratch.drop(open_, pairs)
+        return after
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -278,7 +350,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     search = NearDuplicates(docs, percent)
     found = search.run()
-    reps = search.classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    reps = search.reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reps = reps.select("fp1", "fp2", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("any"))
     rows = search.signed.select("doc_id", "n_shingles", "fp1", "fp2")
     joined = rows.join(reps, ["fp1", "fp2"], "left")

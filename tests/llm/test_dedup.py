@@ -66,11 +66,26 @@ def texts():
     return out + [None, "", " \n ", "one two", "ONE\ttwo", "one two three", "x " * 3000, out[0], out[0].upper(), "É a b c d e", "é a b c d e"]
 
 
-@pytest.mark.parametrize("small", [N.SMALL_BUCKET, 1])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(N, "SMALL_BUCKET", small)
+def crowds(size=100):
+    """Two groups of near copies that are less alike between them, but for one pair, and share their buckets."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    other = base[:330] + [f"v{r.randrange(10**6)}" for _ in range(70)]
+    out = []
+    for text in (base, other):
+        for i in range(size):
+            out.append(" ".join([*text[:200], f"{text[0]}{i}", *text[200:]]))
+    return [*out, " ".join([*base[:200], "odd", *base[200:345], *other[345:]])]
+
+
+@pytest.mark.parametrize("best", [N.BEST, 1])
+@pytest.mark.parametrize("make", ["texts", "crowds"])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, make, best):
+    monkeypatch.setattr(N, "BEST", best)
     monkeypatch.setattr(N, "BLOCK", 16)
-    data = dict(enumerate(texts()))
+    monkeypatch.setattr(N, "SET_BLOCK", 4000)
+    monkeypatch.setattr(N, "PAIRS_AT_ONCE", 500)
+    data = dict(enumerate(texts() if make == "texts" else crowds(40)))
     sets = {i: shingles(t) for i, t in data.items()}
     pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = lowest(pairs, data)
@@ -81,6 +96,40 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_crowded_components_give_few_pairs(spark, monkeypatch):
+    """Two groups that share their buckets pass fine sketches pair by pair, but don't leave the tasks so."""
+    made = {}
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: made.setdefault(name, keep(self, df, name)) if name.startswith("across") else keep(self, df, name))
+    monkeypatch.setattr(Scratch, "drop", lambda self, *tables: None)
+    counts = {}
+    for size in (50, 200):
+        made.clear()
+        rows = crowds(size)[:-1]
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        got = Counter(r.component_id for r in N.near_duplicates(df).collect())
+        assert got == {0: size, size: size}
+        counts[size] = made["across"].count(), made["across-near"].count()
+    assert counts[200][1] <= 10 * N.BEST  # of 40,000
+    assert counts[200][0] <= 4 * max(counts[50][0], 40)
+
+
+def test_one_id_with_two_texts_is_one_document(spark):
+    r = random.Random(4)
+    a, b = (" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(2))
+    rows = [(1, a + " x"), (2, a), (2, b), (2, b), (3, b + " y")]
+    got = {(x.doc_id, x.component_id) for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(6)
+    words = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(5, " ".join(words)), (6, " ".join([*words[:30_000], "new", *words[30_000:]])), (7, " ".join(words[::-1]))]
+    got = {(x.doc_id, x.component_id) for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (6, 5), (7, 7)}
+
+
 def test_null_ids_repeated_rows_and_no_rows(spark):
     long = "a b c d e f g h"
     df = spark.createDataFrame([(None, long), (4, long), (4, long), (2, long), (9, None)], "doc_id long, text string")
