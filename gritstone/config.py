@@ -15,6 +15,8 @@ class Config:
     paragraph_separator: str = r"\n\s*\n"
     max_chunk_tokens: int = 256
     min_chunk_tokens: int = 20
+    token_counter: str = "regex"  # or a name in functions.models.TOKEN_COUNTERS
+    fragment_words: int | None = None  # words and marks of a cut sentence's pieces; max_chunk_tokens if None
     overlap_strategy: str = "last_sentence"  # or last_unit, none
     # validation
     low_info_threshold: float = 0.30
@@ -32,4 +34,6 @@ class Config:
     # storage
     table_path: str = "patent_chunks"
     batch_size: int = 100
-    buckets: int = 32
+    buckets: int = 32  # for some hundred thousand chunks; so many that one bucket is rewritten in a few minutes
+    rows_per_file: int = 100_000
+    files_per_trigger: int = 1000  # of a stream

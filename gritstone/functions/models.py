@@ -1,7 +1,8 @@
 """Model adapters: factories of embedders, rerankers and token counters, loaded once per Python worker.
 
-The defaults need no weights: a feature-hashing embedder and a lexical reranker. They are stand-ins, not equal to any
-trained model; a factory that loads one plugs into the same operators.
+The defaults need no weights: a feature-hashing embedder, a lexical reranker and a regular expression for tokens. They are
+stand-ins, not equal to any trained model. A factory that loads one is registered in the driver under a name, which a
+Config then carries; operators send the factory itself to their tasks.
 """
 
 from __future__ import annotations
@@ -50,15 +51,38 @@ def lexical_reranker() -> Reranker:
     return score
 
 
+TokenCounter = Callable[[list[str]], list[int]]
+
+
+def file_token_counter(path: str) -> Callable[[], TokenCounter]:
+    """A factory of counters by the tokenizer in ``path``, a vocabulary file that every executor can read."""
+
+    def load() -> TokenCounter:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return load
+
+
 EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"hash": hash_embedder}
 RERANKERS: dict[str, Callable[[], Reranker]] = {"lexical": lexical_reranker}
+#: Besides ``regex``, which is a column expression.
+TOKEN_COUNTERS: dict[str, Callable[[], TokenCounter]] = {}
+_loaded: dict = {}
 
 
-@lru_cache(maxsize=4)
-def embedder(name: str, dim: int) -> Embedder:
-    return EMBEDDERS[name](dim)
+def loaded(factory: Callable, *args):
+    """What ``factory`` makes of ``args``, once in each Python worker."""
+    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)), hash(getattr(factory, "__code__", None)), _held(factory), args)
+    if key not in _loaded:
+        if len(_loaded) >= 8:
+            _loaded.clear()
+        _loaded[key] = factory(*args)
+    return _loaded[key]
 
 
-@lru_cache(maxsize=4)
-def reranker(name: str) -> Reranker:
-    return RERANKERS[name]()
+def _held(factory: Callable) -> str:
+    """The values that a factory closes over, so that factories of one function for different files stay apart."""
+    return repr([c.cell_contents for c in getattr(factory, "__closure__", None) or ()])

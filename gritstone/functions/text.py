@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gritstone.config import Config
+from gritstone.functions import models
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 WORD_TOKEN = r"[\p{L}\p{N}]+"
@@ -34,6 +38,21 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN))
 
 
+def tokens_of(text: Column, cfg: Config) -> Column:
+    """Tokens of a text by the counter that ``cfg`` names; ``regex`` is token_count, others run in Arrow batches."""
+    if cfg.token_counter == "regex":
+        return token_count(text)
+    factory = models.TOKEN_COUNTERS[cfg.token_counter]
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = models.loaded(factory)
+        for texts in batches:
+            yield pd.Series(model(texts.fillna("").tolist()), dtype="int32")
+
+    return count(text)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 

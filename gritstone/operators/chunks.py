@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.config import Config
-from gritstone.functions.text import sentences, strip_end, token_count, word_count
+from gritstone.functions.text import sentences, strip_end, tokens_of, word_count
 
 
 def last_sentence(text: Column) -> Column:
@@ -47,7 +47,7 @@ def chunks(units: DataFrame, cfg: Config) -> DataFrame:
     of its own where units are already dealt by patent_id.
     """
     carried = {"last_sentence": last_sentence(F.col("text")), "last_unit": F.col("text"), "none": F.lit("")}[cfg.overlap_strategy]
-    one = units.withColumn("tail", carried).withColumn("tail_tokens", token_count(F.col("tail")))
+    one = units.withColumn("tail", carried).withColumn("tail_tokens", tokens_of(F.col("tail"), cfg))
     packed = one.groupBy("patent_id", "section_idx", "section").agg(
         F.sort_array(F.collect_list(F.struct("unit_idx", "text", "token_count", "start_offset", "end_offset", "tail", "tail_tokens"))).alias("units")
     )
@@ -75,6 +75,6 @@ def chunks(units: DataFrame, cfg: Config) -> DataFrame:
         "patent_id", "section_idx", "section", F.col("c.chunk_no").alias("chunk_no"),
         F.concat_ws("::", "patent_id", F.col("section_idx").cast("string"), F.col("c.chunk_no").cast("string")).alias("chunk_id"),
         "text", F.col("c.first").alias("first_unit"), F.col("c.n").alias("unit_count"), F.col("c.overlap").alias("overlap_tokens"),
-        token_count(F.col("text")).alias("token_count"), word_count(F.col("text")).alias("word_count"),
+        tokens_of(F.col("text"), cfg).alias("token_count"), word_count(F.col("text")).alias("word_count"),
         start.cast("int").alias("start_offset"), F.element_at("own", -1)["end_offset"].alias("end_offset"),
     )

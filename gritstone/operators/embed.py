@@ -17,16 +17,21 @@ from gritstone.sources.scratch import let_workers_import
 def embed(rows: DataFrame, cfg: Config, text: str = "text", vector: str = "vector") -> DataFrame:
     """``rows`` with a column ``vector`` of cfg.vector_size floats; a null text has a zero vector.
 
-    Validate first: filters do not move below this step.
+    A model whose vectors have another size fails the job. Validate first: filters do not move below this step.
     """
     let_workers_import(rows.sparkSession)
     rows = rows.drop(vector)
     at, name, dim = rows.columns.index(text), cfg.embedding_model, cfg.vector_size
+    factory = models.EMBEDDERS[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = models.embedder(name, dim)
+        model = models.loaded(factory, dim)
         for batch in batches:
-            v = np.asarray(model([t or "" for t in batch.column(at).to_pylist()]), np.float64).reshape(-1, dim)
+            if not batch.num_rows:
+                continue
+            v = np.asarray(model([t or "" for t in batch.column(at).to_pylist()]), np.float64)
+            if v.shape != (batch.num_rows, dim):
+                raise ValueError(f"model {name!r} gave vectors of shape {v.shape} for {batch.num_rows} texts; {dim} dimensions are asked for")
             n = np.sqrt((v * v).sum(1, keepdims=True))
             flat = (v / np.where(n == 0, 1, n)).astype(np.float32).ravel()
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim), pa.int32()), pa.array(flat))

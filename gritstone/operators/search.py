@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 
 from gritstone.config import Config
 from gritstone.functions import models
+from gritstone.sources.scratch import Scratch
+
+#: Hits (ids, a score and the query's text) up to which they are sent to every task.
+MAX_SENT_HITS = 100_000
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -61,20 +65,24 @@ def vector_search(queries: DataFrame, rows: DataFrame, cfg: Config) -> DataFrame
 
 
 def with_payload(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits joined with their chunk's payload (chunk_id) and query text; vectors are not carried."""
-    return (
-        hits.withColumnRenamed("id", "chunk_id").join(chunks.drop("vector"), "chunk_id")
-        .join(queries.select("query_id", "query_text"), "query_id")
-    )
+    """Hits joined with their chunk's payload (chunk_id) and query text; vectors are not carried.
+
+    Hits are written once. Where they are few they are sent to the collection, whose text then is not shuffled; where not,
+    both sides are.
+    """
+    hits = Scratch(hits.sparkSession, "hits").keep(hits.withColumnRenamed("id", "chunk_id"), "hits")
+    asked = hits.join(queries.select("query_id", "query_text"), "query_id")
+    few = hits.count() <= MAX_SENT_HITS
+    return chunks.drop("vector").join(F.broadcast(asked) if few else asked, "chunk_id")
 
 
 def rerank(pairs: DataFrame, cfg: Config) -> DataFrame:
     """``pairs`` (query_text, text, vector_score) with rerank_score and rerank_rank, the best cfg.final_top_k of each query."""
-    name = cfg.reranker_model
+    factory = models.RERANKERS[cfg.reranker_model]
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = models.reranker(name)
+        model = models.loaded(factory)
         for q, t, v in batches:
             yield pd.Series(np.round(model(q.fillna("").tolist(), t.fillna("").tolist(), v.to_numpy()), 6))
 
@@ -83,12 +91,15 @@ def rerank(pairs: DataFrame, cfg: Config) -> DataFrame:
 
 
 def by_patent(ranked_chunks: DataFrame) -> DataFrame:
-    """query_id, patent_id, score, best_chunk, matching_chunks (best first) and metadata of every patent with a hit."""
+    """query_id, patent_id, score, best_chunk, matching_chunks (best first), metadata and patent_rank of every patent with a
+    hit; patents of a query are ranked by score, then id."""
     chunk = F.struct("chunk_id", "section", "text", "rerank_score", "rerank_rank")
     meta = [F.first("metadata").alias("metadata")] if "metadata" in ranked_chunks.columns else []
-    return ranked_chunks.groupBy("query_id", "patent_id").agg(
+    found = ranked_chunks.groupBy("query_id", "patent_id").agg(
         F.max("rerank_score").alias("score"),
         F.min_by(chunk, "rerank_rank").alias("best_chunk"),
         F.transform(F.sort_array(F.collect_list(F.struct("rerank_rank", chunk.alias("chunk")))), lambda x: x["chunk"]).alias("matching_chunks"),
         *meta,
     )
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "patent_id")  # cfg.final_top_k rows at most
+    return found.withColumn("patent_rank", F.row_number().over(order))

@@ -20,7 +20,8 @@ def lines(patents: DataFrame) -> DataFrame:
 def assigned_lines(patents: DataFrame, cfg: Config) -> DataFrame:
     """Lines with heading flag, section_idx, section and place of their first character."""
     order = Window.partitionBy("patent_id").orderBy("line_no")
-    own = lines(patents).withColumn("is_heading", is_heading(F.col("line"), cfg))
+    # whole texts are dealt out, not their lines; what follows by patent needs no other shuffle
+    own = lines(patents.repartition("patent_id")).withColumn("is_heading", is_heading(F.col("line"), cfg))
     return own.select(
         "patent_id", "line_no", "line", "is_heading",
         F.sum(F.col("is_heading").cast("int")).over(order).cast("int").alias("section_idx"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gritstone.config import Config
-from gritstone.functions.text import alpha_ratio, collapse_whitespace, is_heading, token_count, word_count, word_tokens
+from gritstone.functions.text import alpha_ratio, collapse_whitespace, is_heading, tokens_of, word_count, word_tokens
 
 
 def is_heading_only(norm: Column, cfg: Config) -> Column:
@@ -22,7 +22,7 @@ def judged(chunks: DataFrame, cfg: Config) -> DataFrame:
     novelty = F.when(F.col("prev").isNotNull(), F.size(F.array_except("tokens", "prev")) / F.nullif(F.size("tokens"), F.lit(0)))
     same = Window.partitionBy("patent_id", F.md5(F.col("text").cast("binary"))).orderBy("section_idx", "chunk_no")
     rows = (
-        rows.withColumn("token_count", token_count(F.col("text"))).withColumn("word_count", word_count(F.col("text")))
+        rows.withColumn("token_count", tokens_of(F.col("text"), cfg)).withColumn("word_count", word_count(F.col("text")))
         .withColumn("alpha_ratio", alpha_ratio(F.col("text"))).withColumn("novelty", novelty).drop("tokens", "prev")
         .withColumn("copy_no", F.row_number().over(same))
     )

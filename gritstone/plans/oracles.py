@@ -213,7 +213,7 @@ ORACLES: dict[str, str] = {
     "patent_scores": _with(HITS, "SELECT query_id, patent_id, score FROM results"),
     "best_chunk": _with(HITS, "SELECT query_id, patent_id, best_id AS chunk_id, best_score AS rerank_score FROM results"),
     "matching_chunks": _with(HITS, "SELECT query_id, patent_id, CAST(row_number() OVER (PARTITION BY query_id, patent_id ORDER BY rerank_rank) - 1 AS INTEGER) AS place, chunk_id, rerank_score FROM top"),
-    "patent_results": _with(HITS, "SELECT query_id, patent_id, score, chunks, lang, source FROM results JOIN patents USING (patent_id)"),
+    "patent_results": _with(HITS, "SELECT query_id, patent_id, score, chunks, lang, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, patent_id) AS INTEGER) AS patent_rank FROM results JOIN patents USING (patent_id)"),
     "context_blocks": _with(HITS, "SELECT query_id, patent_id, score, block FROM results"),
     "prompts": _with(
         HITS,

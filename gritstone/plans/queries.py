@@ -286,7 +286,7 @@ def matching_chunks(spark, d):
 @query
 def patent_results(spark, d):
     return _results(spark, d).select(
-        "query_id", "patent_id", "score", F.size("matching_chunks").alias("chunks"), F.col("metadata.lang").alias("lang"), F.col("metadata.source").alias("source")
+        "query_id", "patent_id", "score", F.size("matching_chunks").alias("chunks"), F.col("metadata.lang").alias("lang"), F.col("metadata.source").alias("source"), "patent_rank",
     )
 
 

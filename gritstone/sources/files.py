@@ -18,11 +18,18 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(_stem(r"^(.*)\.txt$").alias("stem"), F.col("value").alias("text"))
 
 
-def metadata_files(spark: SparkSession, folder: str) -> DataFrame:
+def metadata_files(spark: SparkSession, *paths: str) -> DataFrame:
     """stem, patent_id, metadata: one row for each .json file; keys other than the known ones are kept in ``extra``."""
-    raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    if not paths:
+        return parsed_metadata(spark.createDataFrame([], "stem string, value string"))
+    raw = spark.read.option("pathGlobFilter", "*.json").text(list(paths), wholetext=True)
+    return parsed_metadata(raw.select(_stem(r"^(.*)\.json$").alias("stem"), "value"))
+
+
+def parsed_metadata(raw: DataFrame) -> DataFrame:
+    """stem, patent_id, metadata from stem and value, the JSON text."""
     known = "patent_id string, title string, filing_date string, classification_codes array<string>, inventors array<string>"
-    rows = raw.select(_stem(r"^(.*)\.json$").alias("stem"), F.from_json("value", known).alias("m"), F.from_json("value", "map<string,string>").alias("all"))
+    rows = raw.select("stem", F.from_json("value", known).alias("m"), F.from_json("value", "map<string,string>").alias("all"))
     extra = F.map_filter("all", lambda k, _: ~k.isin(*KNOWN))
     meta = F.struct(
         F.col("m.title").alias("title"), F.try_to_date("m.filing_date").alias("filing_date"),
@@ -33,5 +40,9 @@ def metadata_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def load_patents(spark: SparkSession, folder: str) -> DataFrame:
     """patent_id, text, metadata: texts with the metadata beside them; a text without any has null metadata and its stem as id."""
-    joined = text_files(spark, folder).join(metadata_files(spark, folder), "stem", "left")
+    return with_metadata(text_files(spark, folder), metadata_files(spark, folder))
+
+
+def with_metadata(texts: DataFrame, metadata: DataFrame) -> DataFrame:
+    joined = texts.join(metadata, "stem", "left")
     return joined.select(F.coalesce("patent_id", "stem").alias("patent_id"), "text", "metadata")

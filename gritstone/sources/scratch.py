@@ -7,6 +7,7 @@ unset, as in tests with a local master.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,16 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session."""
+    """The shared checkpoint folder of the session.
+
+    Without one, a folder of this machine is made for a local master; any other master is refused, since executors would
+    write to disks of their own.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-gritstone-")
         sc.setCheckpointDir(named)
     return named
@@ -36,20 +43,33 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/gritstone-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
+        self.paths.append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t.scratch_path)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Drops all tables but those given."""
+        kept = {t.scratch_path for t in but}
+        for path in [p for p in self.paths if p not in kept]:
+            self._delete(path)
+        self.paths = sorted(kept)
+        if not kept:
+            self._delete(self.base)
 
 
 def let_workers_import(spark: SparkSession) -> None:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+from pyspark.sql.window import Window
 
 from gritstone.config import Config
+from gritstone.sources.scratch import Scratch
 
 
 def bucket(cfg: Config):
     return F.pmod(F.xxhash64("patent_id"), F.lit(cfg.buckets)).cast("int")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -28,28 +29,40 @@ def merged(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").select(old.columns).unionByName(new, allowMissingColumns=True)
 
 
+def latest(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """One row for each ``key``: of several, the last in the order of their plain columns."""
+    plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, AtomicType) and f.name != key]
+    order = Window.partitionBy(key).orderBy(*[F.desc(c) for c in plain] or [key])
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def _in_files(rows: DataFrame, cfg: Config) -> DataFrame:
+    """``rows`` dealt by bucket, a large bucket to several tasks of about cfg.rows_per_file rows."""
+    parts = max(1, rows.count() // (cfg.buckets * cfg.rows_per_file))
+    return rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
+
+
 def upsert(spark: SparkSession, new: DataFrame, path: str, cfg: Config, replace_patent: bool = False) -> None:
     """Inserts or replaces points by chunk_id; only the buckets that ``new`` touches are written again.
 
-    With ``replace_patent`` older chunks of the patents in ``new`` go too. The merged rows are staged beside the table
-    first, since a path cannot be overwritten while it is read.
+    With ``replace_patent`` older chunks of the patents in ``new`` go too. ``new`` is computed once, into scratch space,
+    and so are the merged rows, since a path cannot be overwritten while it is read.
     """
-    new = new.dropDuplicates(["chunk_id"]).withColumn("bucket", bucket(cfg))
-    if not _exists(spark, path):
-        new.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        return
-    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # cfg.buckets numbers at most
-    table = spark.read.parquet(path)
-    columns = table.columns
-    old = table.where(F.col("bucket").isin(touched))
-    if replace_patent:
-        old = old.join(new.select("patent_id").distinct(), "patent_id", "left_anti")
-    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    merged(old.select(columns), new).repartition("bucket").write.parquet(staged)
-    whole = spark.read.parquet(staged)
-    whole.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    scratch = Scratch(spark, "upsert")
+    try:
+        new = scratch.keep(latest(new).withColumn("bucket", bucket(cfg)), "new")
+        if not path_exists(spark, path):
+            _in_files(new, cfg).write.partitionBy("bucket").parquet(path)
+            return
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # cfg.buckets numbers at most
+        table = spark.read.parquet(path)
+        old = table.where(F.col("bucket").isin(touched))
+        if replace_patent:
+            old = old.join(new.select("patent_id").distinct(), "patent_id", "left_anti")
+        whole = scratch.keep(merged(old.select(table.columns), new), "merged")
+        _in_files(whole, cfg).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
+    finally:
+        scratch.clear()
 
 
 def in_batches(rows: DataFrame, send, cfg: Config) -> None:

@@ -8,19 +8,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gritstone.config import Config
 from gritstone.plans.jobs import embedded_chunks
-from gritstone.sources.table import upsert
+from gritstone.sources.files import metadata_files, with_metadata
+from gritstone.sources.table import path_exists, upsert
 
 
 def stream_ingest(spark: SparkSession, folder: str, checkpoint: str, cfg: Config, once: bool = True) -> StreamingQuery:
     """Starts the stream; with ``once`` it stops when all files there are done.
 
-    The state is the table: a batch that runs again replaces its own chunks, since chunk ids do not change.
+    A text takes the metadata and id of the .json beside it, as in batch ingest; write that file first. At most
+    cfg.files_per_trigger texts are a batch, whose paths the driver holds. The state is the table: a batch that runs again
+    replaces its own chunks, since chunk ids do not change.
     """
-    files = spark.readStream.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    named = files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("patent_id"), F.col("value").alias("text"))
+    files = spark.readStream.option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", cfg.files_per_trigger).text(folder, wholetext=True)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1)
+    named = files.select(stem.alias("stem"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert(batch.sparkSession, embedded_chunks(batch, cfg), cfg.table_path, cfg)
+        own = batch.sparkSession
+        beside = [r[0].removesuffix(".txt") + ".json" for r in batch.select("path").collect()]
+        metadata = metadata_files(own, *(p for p in beside if path_exists(own, p)))
+        upsert(own, embedded_chunks(with_metadata(batch.select("stem", "text"), metadata), cfg), cfg.table_path, cfg)
 
     out = named.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()

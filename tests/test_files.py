@@ -1,8 +1,11 @@
 """Files, the collection table and the stream, on files written here."""
 
 import json
+import os
 from dataclasses import replace
 
+import pytest
+
 from gritstone.config import Config
 from gritstone.plans import jobs
 from gritstone.sources.files import load_patents
@@ -79,3 +82,46 @@ def test_stream_takes_what_arrives(spark, tmp_path):
     write(tmp_path / "in", "US2")
     run()
     assert read_collection(spark, cfg.table_path).select("patent_id").distinct().count() == 2
+
+
+def test_batch_then_stream_is_the_same_patent_once(spark, tmp_path):
+    cfg = replace(Config(), vector_size=16, table_path=str(tmp_path / "table"), buckets=2)
+    meta = {"patent_id": "US7", "title": "T", "owner": "O"}
+    write(tmp_path / "in", "a", meta=meta)
+    write(tmp_path / "in", "b")
+    jobs.ingest(spark, str(tmp_path / "in"), cfg)
+    first = sorted(map(repr, read_collection(spark, cfg.table_path).collect()))
+    write(tmp_path / "more", "a", meta=meta)
+    write(tmp_path / "more", "c", meta={"patent_id": "US8", "title": "U"})
+    stream_ingest(spark, str(tmp_path / "more"), str(tmp_path / "checkpoint"), cfg).awaitTermination()
+    rows = read_collection(spark, cfg.table_path)
+    assert sorted(map(repr, rows.where("patent_id <> 'US8'").collect())) == first
+    assert {(r.patent_id, r.title) for r in rows.select("patent_id", "metadata.title").collect()} == {("US7", "T"), ("b", None), ("US8", "U")}
+
+
+def test_equal_ids_give_one_row_whatever_the_order(spark, tmp_path):
+    rows = [("a::1", "a", "x", 1), ("a::1", "a", "y", 2), ("a::1", "a", "y", 1)]
+    for i, r in enumerate((rows, rows[::-1])):
+        upsert(spark, spark.createDataFrame(r, "chunk_id string, patent_id string, text string, v int").coalesce(1), str(tmp_path / str(i)), Config())
+        assert [tuple(x) for x in read_collection(spark, str(tmp_path / str(i))).collect()] == [("a::1", "a", "y", 2)]
+
+
+def test_upsert_leaves_no_scratch_tables(spark, tmp_path):
+    from gritstone.sources.scratch import scratch_dir
+
+    count = lambda: sum("gritstone-upsert" in n for n in os.listdir(scratch_dir(spark).removeprefix("file:")))
+    before = count()
+    for v in (1, 2):
+        upsert(spark, spark.createDataFrame([("a::1", "a", v)], "chunk_id string, patent_id string, v int"), str(tmp_path / "t"), Config())
+    assert count() == before
+
+
+def test_scratch_space_of_one_machine_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from gritstone.sources.scratch import scratch_dir
+
+    made = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_dir(made(master))

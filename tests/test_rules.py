@@ -163,3 +163,41 @@ def test_patent_results_and_prompt(spark):
 def test_ranked_keeps_k(spark):
     df = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (1, "c", 0.9)], "query_id long, id string, s double")
     assert [(r.id, r.rank) for r in ranked(df, "s", 2, "rank", ["id"]).orderBy("rank").collect()] == [("c", 1), ("a", 2)]
+
+
+def test_models_registered_in_the_driver_reach_the_tasks(spark, monkeypatch):
+    import numpy as np
+
+    from gritstone.functions import models
+    from gritstone.operators.search import rerank
+
+    monkeypatch.setitem(models.EMBEDDERS, "lengths", lambda dim: lambda texts: np.array([[len(t)] + [0] * (dim - 2) + [1] for t in texts]))
+    cfg = replace(CFG, embedding_model="lengths", vector_size=4)
+    got = embed(spark.createDataFrame([("abc",), (None,)], "text string"), cfg).collect()
+    assert [[round(x, 4) for x in r.vector] for r in got] == [[0.9487, 0, 0, 0.3162], [0, 0, 0, 1]]
+    monkeypatch.setitem(models.RERANKERS, "shortest", lambda: lambda queries, texts, scores: np.array([-float(len(t)) for t in texts]))
+    pairs = spark.createDataFrame([(1, "c1", "q", "long text", 0.9, 1), (1, "c2", "q", "text", 0.1, 2)], "query_id int, chunk_id string, query_text string, text string, vector_score double, vector_rank int")
+    assert [r.chunk_id for r in rerank(pairs, replace(CFG, reranker_model="shortest")).orderBy("rerank_rank").collect()] == ["c2", "c1"]
+    monkeypatch.setitem(models.TOKEN_COUNTERS, "letters", lambda: lambda texts: [len(t.replace(" ", "")) for t in texts])
+    text = "ABSTRACT\n" + " ".join(["abcd"] * 100) + "."
+    small = replace(CFG, token_counter="letters", max_chunk_tokens=64, fragment_words=16)
+    cut = units(sections(spark.createDataFrame([("p", text)], "patent_id string, text string"), small), small)
+    rows, made = cut.collect(), chunks(cut, small).collect()
+    assert {r.kind for r in rows} == {"fragment"} and max(r.token_count for r in rows) <= 65
+    assert all(r.token_count == len(r.text.replace(" ", "")) for r in made)
+
+
+def test_a_model_of_another_size_is_refused(spark, monkeypatch):
+    import numpy as np
+
+    from gritstone.functions import models
+
+    monkeypatch.setitem(models.EMBEDDERS, "wide", lambda dim: lambda texts: np.ones((len(texts), 2 * dim)))
+    with pytest.raises(Exception, match="dimensions are asked for"):
+        embed(spark.createDataFrame([("abc",), ("d",)], "text string"), replace(CFG, embedding_model="wide", vector_size=4)).collect()
+
+
+def test_patents_of_a_query_are_ranked(spark):
+    rows = [(1, "p", "p::0", "S", "t", 0.5, 3), (1, "q", "q::0", "S", "t", 0.9, 1), (1, "o", "o::0", "S", "t", 0.5, 2), (2, "p", "p::0", "S", "t", 0.1, 1)]
+    df = spark.createDataFrame(rows, "query_id int, patent_id string, chunk_id string, section string, text string, rerank_score double, rerank_rank int")
+    assert {(r.query_id, r.patent_id): r.patent_rank for r in by_patent(df).collect()} == {(1, "q"): 1, (1, "o"): 2, (1, "p"): 3, (2, "p"): 1}
