@@ -24,7 +24,7 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Registered names under which every page is listed.
+#: Registered names of the sites whose pages the list holds.
 LISTED_NAMES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
@@ -112,9 +112,14 @@ def rule_column(host: Column, path: Column, rules=None) -> tuple[Column, Column]
 
 
 def list_of_names(pages: DataFrame, names=None) -> DataFrame:
-    """Canonical URLs of the pages on hosts with a listed name as one of their labels."""
+    """The list: canonical URLs of pages on hosts with a listed name as one of their labels, as far as they are known.
+
+    Known is the split of pages whose md5 of page_id doesn't begin with 0, 1, 2 or 3; any other page is listed only if
+    its canonical URL is one of theirs.
+    """
     alt = "|".join(names or LISTED_NAMES)
-    return pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({alt})\.")).select(canonical_url(F.col("url")).alias("canonical"))
+    known = pages.where(F.md5(F.col("page_id").cast("string").cast("binary")) >= "4")
+    return known.where(host_of(F.col("url")).rlike(rf"(^|\.)({alt})\.")).select(canonical_url(F.col("url")).alias("canonical"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=None) -> DataFrame:
@@ -139,7 +144,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH u AS (
-  SELECT page_id,
+  SELECT page_id, url,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
@@ -151,11 +156,20 @@ r AS (
     WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/'
-  END AS rule FROM u)
+  END AS rule FROM u),
+q AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1),
+    '(^|&)(utm_[a-z]+|ref|gclid|fbclid)=[^&]*', '', 'g'), '^&+', '') AS query FROM r),
+c AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '')
+    || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM q),
+listed AS (
+  SELECT DISTINCT canonical FROM c WHERE md5(CAST(page_id AS VARCHAR)) >= '4'
+    AND regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.'))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.') THEN 'block'
+            WHEN canonical IN (SELECT canonical FROM listed) THEN 'block'
             ELSE 'allow' END AS verdict
-FROM r
+FROM c
 """
