@@ -220,6 +220,32 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert len(got) == best[-1][-1] and all(a[i] in it for i in got)
 
 
+def test_shared_lines_of_long_pages_with_many_equal_lines():
+    r = random.Random(9)
+    a, b = ["x"] * 20_000 + ["a"], ["b"] + ["x"] * 19_000 + ["y"] * 1000
+    assert len(W.shared_lines(a, b)) == 19_000
+    a, b = ([r.choice("abc") for _ in range(5000)] for _ in range(2))
+    got = sorted(W.shared_lines(a, b))
+    it = iter(b)
+    assert len(got) == W._lengths(a, b)[-1] > 3000 and all(a[i] in it for i in got)
+
+
+@pytest.mark.parametrize("n, most", [(10_000, 0.01), (600, 0.06)])
+def test_sum_of_squares_places_most_tokens(n, most):
+    """Of documents of about a thousand tokens, few are left to the end of a task, where windows are cut."""
+    r = random.Random(2)
+    lengths = [(i, 1 + int(r.expovariate(1 / 900))) for i in range(n)]
+    whole, by = sum(x for _, x in lengths), {}
+    seen = {}
+    for number, pieces, kind in P.pack_stream(iter(lengths)):
+        assert number not in seen
+        seen[number] = size = sum(p[2] for p in pieces)
+        assert size == 4096 or kind == "rest" and size & (size - 1) == 0
+        by[kind] = by.get(kind, 0) + size
+    assert sum(by.values()) == whole
+    assert by["rest"] <= most * whole and by["ends"] <= 0.05 * whole
+
+
 def test_pipeline_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     item = " ".join(f"item{i}" for i in range(20))
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
