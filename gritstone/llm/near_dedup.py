@@ -33,10 +33,11 @@ ESTIMATE = 0.5
 FINE_MINHASHES, FINE_WORDS = 1024, 64
 #: Pairs estimated below this on fine sketches go; at 0.75 the estimate is five standard deviations above.
 FINE_ESTIMATE = 0.667
-BLOCK = 512  # members of a bucket in a block
+BLOCK = 4096  # members of a bucket in a block: some 3 MB
+GROUP_ROWS = 4096  # rows of small buckets that are compared in one group
 BEST = 4  # pairs of two components that leave a task; where none of them links the two, full sets decide
 SET_BLOCK = 1 << 18  # shingles of a component in a block of full sets
-PAIRS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 16
 #: Ids up to which the set of candidate documents is sent to every task (12 bytes each); beyond, texts are shuffled.
 MAX_SENT_IDS = 1_000_000
 BATCH_ROWS = 1000
@@ -165,8 +166,8 @@ def _compare(percent: int):
             x, y = x[good], y[good]
             good = np.bitwise_count(light[x] ^ light[y]).sum(1, dtype=np.int32) <= coarse
             x, y = x[good], y[good]
-            for cut in range(0, len(x), 20_000):
-                p, q = x[cut : cut + 20_000], y[cut : cut + 20_000]
+            for cut in range(0, len(x), 4096):
+                p, q = x[cut : cut + 4096], y[cut : cut + 4096]
                 ones = np.bitwise_count(heavy[p] ^ heavy[q]).sum(1, dtype=np.int32)
                 p, q, ones = p[ones <= fine], q[ones <= fine], ones[ones <= fine]
                 out.append(np.column_stack((np.sort(np.column_stack((rep[p], rep[q])), 1), np.sort(np.column_stack((part[p], part[q])), 1), ones)))
@@ -180,19 +181,26 @@ def _compare(percent: int):
     return compare
 
 
-def _first_link(percent: int):
-    def first_link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """One link (a, b), if there is any, between the two components of a group, on full sets."""
-        left, right = ([(int(r), np.asarray(h, np.int64)) for r, h in zip(p["rep"], p["hashes"], strict=True)] for p in (rows[~rows["right"]], rows[rows["right"]]))
-        for a, x in left:
-            for b, y in right:
-                if min(len(x), len(y)) * 100 >= max(len(x), len(y)) * percent:
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common * 100 >= (len(x) + len(y) - common) * percent:
-                        return pd.DataFrame({"a": [min(a, b)], "b": [max(a, b)]})
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    return first_link
+def _first_links(percent: int):
+    def first_links(rows: pd.DataFrame) -> pd.DataFrame:
+        """For each other component of a cell, one link (a, b), if there is any, with a member of the hub, on full sets."""
+        hub, others = rows[~rows["pooled"]], rows[rows["pooled"]].sort_values(["part", "rep"])
+        reps, size = hub["rep"].to_numpy(), hub["hashes"].map(len).to_numpy()
+        flat, at = np.concatenate(hub["hashes"].to_list()) if len(hub) else np.zeros(0, np.int64), np.cumsum(size) - size
+        out: list[tuple[int, int]] = []
+        last = None  # component that has a link
+        for rep, part, hashes in zip(others["rep"], others["part"], others["hashes"], strict=True):
+            if part == last or not len(hub):
+                continue
+            own = np.sort(hashes)
+            common = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, at, dtype=np.int64)
+            linked = np.flatnonzero(common * 100 >= (size + len(own) - common) * percent)
+            if len(linked):
+                out.append((min(reps[linked[0]], rep), max(reps[linked[0]], rep)))
+                last = part
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return first_links
 
 
 class NearDuplicates:
@@ -274,7 +282,7 @@ class NearDuplicates:
         """(a, b, ca, cb, more): pairs of different components in a bucket that may be similar by their fine sketches."""
         fine = self.texts_of(open_.select(F.col("rep").alias("doc_id")), "open-ids").mapInArrow(_fine, "rep long, fp long, fine binary").dropDuplicates(["rep", "fp"])
         members = self.scratch.keep(fine.drop("fp").join(self.reps.select("rep", "sketch"), "rep"), "members")
-        groups = max(1, open_.count() // (8 * BLOCK))
+        groups = max(1, open_.count() // GROUP_ROWS)
         group = F.when(F.col("alone"), F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups)))
         rows = self.dealt(open_).withColumn("group", group).join(members, "rep")
         found = rows.repartition(self.tasks, "group").groupBy("group").applyInPandas(_compare(self.percent), "a long, b long, ca long, cb long, more boolean")
@@ -285,25 +293,29 @@ class NearDuplicates:
     def settled(self, apart: DataFrame, named: DataFrame) -> DataFrame:
         """(a, b): a link between each two components of ``apart`` (ca, cb) that have one, by full sets.
 
-        ``named`` has rep, n and component. Members are dealt to blocks of about SET_BLOCK shingles, and each two blocks
-        are one group that gives one link at most.
+        ``named`` has rep, n and component. The larger component of each two is a hub; the members of all others that ask
+        for it are pooled. Both are dealt to blocks of about SET_BLOCK shingles, and each two blocks are one cell.
         """
         asked = apart.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
         members = self.scratch.keep(named.join(asked, "component"), "apart")
-        size = members.groupBy("component").agg(F.ceil(F.sum("n") / SET_BLOCK).cast("int").alias("chunks"))
-        members = members.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        size = self.scratch.keep(size, "apart-sizes")
-        other = lambda c: size.select(F.col("component").alias(c), (F.col("chunks") - 1).alias("last"))
-        sides = []
-        for mine, theirs, right in (("ca", "cb", False), ("cb", "ca", True)):
-            side = apart.join(other(theirs), theirs).join(members.withColumnRenamed("component", mine), mine)
-            side = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-            i, j = ("other", "chunk") if right else ("chunk", "other")
-            sides.append(side.select("ca", "cb", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(right).alias("right"), "rep"))
-        sets = self.sets_of(members.select(F.col("rep").alias("doc_id")), "apart").withColumnRenamed("doc_id", "rep")
-        rows = sides[0].union(sides[1]).join(sets, "rep")
-        found = rows.repartition(self.tasks, "ca", "cb", "i", "j").groupBy("ca", "cb", "i", "j").applyInPandas(_first_link(self.percent), "a long, b long")
-        return self.scratch.keep(found, "settled")
+        size = members.groupBy("component").agg(F.sum("n").alias("size"))
+        of = lambda c: size.select(F.col("component").alias(c), F.col("size").alias(f"{c}_size"))
+        pairs, larger = apart.join(of("ca"), "ca").join(of("cb"), "cb"), F.col("ca_size") >= F.col("cb_size")
+        pairs = self.scratch.keep(pairs.select(F.when(larger, F.col("ca")).otherwise(F.col("cb")).alias("hub"), F.when(larger, F.col("cb")).otherwise(F.col("ca")).alias("part")), "hubs")
+        hubs = members.withColumnRenamed("component", "hub").join(pairs.select("hub").distinct(), "hub").select("hub", "hub", "rep", "n", F.lit(False))
+        others = pairs.join(members.withColumnRenamed("component", "part"), "part").select("hub", "part", "rep", "n", F.lit(True))
+        rows = self.scratch.keep(hubs.union(others).toDF("hub", "part", "rep", "n", "pooled"), "hub-rows")
+        weight = lambda own: F.ceil(F.sum(F.when(own, F.col("n"))) / SET_BLOCK).cast("int")
+        blocks = rows.groupBy("hub").agg(weight(~F.col("pooled")).alias("own"), weight(F.col("pooled")).alias("pool"))
+        rows = rows.join(dealt_again(blocks, "hub"), "hub")
+        mine, theirs = (F.when(F.col("pooled"), F.col(y)).otherwise(F.col(x)) for x, y in (("own", "pool"), ("pool", "own")))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), theirs - 1)))
+        cell = [F.when(F.col("pooled"), F.col(y)).otherwise(F.col(x)).alias(k) for k, x, y in (("i", "chunk", "other"), ("j", "other", "chunk"))]
+        sets = self.sets_of(members.select(F.col("rep").alias("doc_id")), "apart")
+        rows = rows.select("hub", *cell, "part", "pooled", "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(self.tasks, "hub", "i", "j")
+        found = self.scratch.keep(rows.groupBy("hub", "i", "j").applyInPandas(_first_links(self.percent), "a long, b long"), "settled")
+        self.scratch.drop(members, sets)
+        return found
 
     def joined(self, found: DataFrame, links: DataFrame) -> DataFrame:
         """The components ``found`` after more links."""
