@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 SHINGLE = 5
@@ -12,6 +14,7 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_GAP = re.compile(rb"[\x20\t-\r]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -35,7 +38,21 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of A-Z lower-cased bytes; words are what stands between ASCII white space."""
+    """(hash, start) of each word of A-Z lower-cased bytes; words are what stands between ASCII white space.
+
+    A long text is read in segments that end at white space, so that what is held besides the hashes doesn't grow with it.
+    """
+    parts, at = [], 0
+    while at < len(raw) or not parts:
+        gap = _GAP.search(raw, at + BATCH_BYTES) if len(raw) - at > BATCH_BYTES else None
+        end = gap.start() if gap else len(raw)
+        hashes, starts = _segment_hashes(raw[at:end])
+        parts.append((hashes, starts + at))
+        at = end
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _segment_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(raw.lower(), np.uint8)
     gap = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
