@@ -72,8 +72,19 @@ class Scratch:
             self._delete(self.base)
 
 
+#: Bytes of an Arrow batch, and Spark's own bound, which counts as unset.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 8 << 20, 64 << 20
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Puts this checkout on the Python path of workers started on the same machine (clusters ship it with --py-files)."""
+    """Readies a session for tasks in Python.
+
+    Puts this checkout on the Python path of workers started on the same machine (clusters ship it with --py-files), and
+    bounds Arrow batches, which hold whole texts, to BATCH_BYTES where the session has Spark's default.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").rstrip("b") == str(DEFAULT_BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
