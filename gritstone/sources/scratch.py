@@ -83,7 +83,7 @@ def let_workers_import(spark: SparkSession) -> None:
     bounds Arrow batches, which hold whole texts, to BATCH_BYTES where the session has Spark's default.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").rstrip("b") == str(DEFAULT_BATCH_BYTES):
+    if spark.conf.get(key).rstrip("b") == str(DEFAULT_BATCH_BYTES):
         spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
