@@ -1,7 +1,9 @@
 """Corpus pipeline: the stages that turn ``documents`` into packed training sequences, each a DataFrame job.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
-of ``docs``; extra columns pass through. Null and empty texts pass the middle stages unchanged.
+of ``docs``; extra columns pass through. Null and empty texts pass the middle stages unchanged. Repeated rows of one id are
+one document: near-dedup keeps all of them or none, and packing packs each for itself; of ties between documents the
+smallest id stays. Empty tables give empty results. Texts of any length are read whole.
 """
 
 from __future__ import annotations
