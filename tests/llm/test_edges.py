@@ -66,3 +66,11 @@ def test_pipeline_of_no_documents(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_or_drops_all_rows_of_an_id(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(9, text, "aa", "s", len(text)), (5, text, "aa", "s", len(text)), (6, "something else altogether", "aa", "s", 25)]
+    docs = spark.createDataFrame(rows * 2, DOCS)
+    kept = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 5, 6, 6] and kept.columns == docs.columns
