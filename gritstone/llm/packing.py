@@ -31,6 +31,7 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 400_000  # words kept with their ids in each worker
 BATCH_ROWS = 512
+BATCH_WORDS = 512  # new words encoded at a time
 
 #: Letters, digits and punctuation below U+0250 split as the tokenizer splits them, and fold alike one by one.
 _PLAIN = re.compile(r"[\x00-įı-ɏ‐-‧]*")
@@ -49,10 +50,22 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer, self.cache = path, Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, encoded as one text, which is cut where words end, or one by one where the count differs."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(at) != len(words) or at[-1] != 4 * len(ids):
+            return self._ids(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         words: list[list[str] | None] = [None] * len(texts)
@@ -67,9 +80,9 @@ class WordTokenizer:
                 new.update(words[i])
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        todo = [w for w in new if w not in self.cache]
-        for i in range(0, len(todo), 20_000):
-            self.cache.update(zip(todo[i : i + 20_000], self._ids(todo[i : i + 20_000]), strict=True))
+        todo = list(new.difference(self.cache))
+        for i in range(0, len(todo), BATCH_WORDS):
+            self.cache.update(zip(todo[i : i + BATCH_WORDS], self._word_ids(todo[i : i + BATCH_WORDS]), strict=True))
         get = self.cache.__getitem__
         return [b"".join(map(get, w)) if x is None else x for x, w in zip(out, words, strict=True)]
 

@@ -113,6 +113,13 @@ def test_words_have_the_tokenizers_ids():
     assert enc.encode(some) == want
 
 
+def test_words_encoded_together_have_the_ids_of_each_alone():
+    enc = P.WordTokenizer(P.default_tokenizer())
+    words = ["'s", "'", "..'", "s", "7", "¼", "ǆ", "ñandú", "x" * 3000, "‐‑", "\x00", "°", "antidisestablishmentarianism"] * 3
+    assert enc._word_ids(words) == enc._ids(words)
+    assert enc._word_ids(["two words", "s"]) == enc._ids(["two words", "s"])  # more ends than words: one by one
+
+
 @pytest.mark.parametrize("window", [16, 64, 4096])
 def test_packing_is_an_exact_cover(spark, window):
     texts = TEXTS + [speech("aa", random.Random(i).randint(0, 300), i) for i in range(150)]
