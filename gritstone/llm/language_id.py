@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -210,7 +211,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     docs = docs.drop("lang_pred", "score", "bits_per_byte", "__letter")
     keep = [c for c in (keep or docs.columns)]
     sent, tag = spark.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.when(has_letter(F.col("text")), F.col("text")).alias("__letter"))
+    own = keep.index("text") if "text" in keep else None  # then the text is not sent twice
+    letter = has_letter(F.col("text")) if own is not None else F.when(has_letter(F.col("text")), F.col("text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], letter.alias("__letter"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tag not in _models:
@@ -220,7 +223,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                texts = [folded(t) if t else b"" for t in batch.column(len(keep)).to_pylist()]
+                texts = batch.column(len(keep))
+                if own is not None:
+                    texts = pc.if_else(texts, batch.column(own), None)
+                texts = [folded(t) if t else b"" for t in texts.to_pylist()]
                 bits = m.score(texts) if m.langs else np.zeros((len(texts), 1))
                 best = bits.argmin(1)
                 share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
