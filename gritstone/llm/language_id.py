@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -223,10 +222,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                texts = batch.column(len(keep))
+                texts = batch.column(len(keep)).to_pylist()
                 if own is not None:
-                    texts = pc.if_else(texts, batch.column(own), None)
-                texts = [folded(t) if t else b"" for t in texts.to_pylist()]
+                    texts = [t if k else None for k, t in zip(texts, batch.column(own).to_pylist(), strict=True)]
+                texts = [folded(t) if t else b"" for t in texts]
                 bits = m.score(texts) if m.langs else np.zeros((len(texts), 1))
                 best = bits.argmin(1)
                 share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)

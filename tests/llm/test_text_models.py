@@ -76,6 +76,16 @@ def test_held_out_texts_are_told_apart(spark):
     assert {r.lang_pred for r in L.predict(df, none).collect()} == {"und"}
 
 
+def test_predictions_are_the_same_whether_the_text_is_kept_or_not(spark):
+    model = L.fit(labelled(spark))
+    texts = [None, "42 é!", "", "kiva é nolu", "señal y más", "ü"]
+    rows = [(i, texts[i % 6] if i % 4 else speech("aa", 5, i)) for i in range(3 * L.BATCH_ROWS + 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept, alone = L.predict(df, model), L.predict(df, model, ["doc_id"])
+    assert {(r.doc_id, r.text) for r in kept.collect()} == set(rows)
+    assert sorted(kept.drop("text").collect()) == sorted(alone.collect())
+
+
 def test_long_texts_train_and_texts_without_letters_take_no_place(spark):
     words = {"aa": "kiva lomu ", "bb": "strech glypt "}
     rows = [(i, words["aa"] * 20_000, "aa") for i in range(4)] + [(10 + i, words["bb"] * 5 if i == 30 else "12 !", "bb") for i in range(40)]
