@@ -6,7 +6,7 @@ from gritstone.llm.url_filter import LOWER, UPPER
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BLANK = r"[^\x20\x09-\x0D]+"
+BLANK = r"[^\x20\x09-\x0D]+"  # a run of what is no white space
 
 DECONTAMINATE = f"""
 WITH iw AS (SELECT item_id, regexp_extract_all({_LOW}, '{_ALNUM}') AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -29,7 +29,7 @@ low AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 """
 
 NEAR_DEDUP = f"""
-WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_BLANK}') AS w FROM documents),
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOW}, '{BLANK}') AS w FROM documents),
 sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[s + 1 : s + 5], ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS s FROM dw WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
