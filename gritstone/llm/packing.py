@@ -33,9 +33,11 @@ CACHE_WORDS = 400_000  # words kept with their ids in each worker
 BATCH_ROWS = 512
 BATCH_WORDS = 512  # new words encoded at a time
 
-#: Letters, digits and punctuation below U+0250 split as the tokenizer splits them, and fold alike one by one.
-_PLAIN = re.compile(r"[\x00-įı-ɏ‐-‧]*")
-_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zA-ZªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-zA-ZªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾]+")
+#: Characters that split as the tokenizer splits them and fold alike one by one: those below U+0250 whose lower case is one
+#: character below U+0250 too, without the separators U+001C to U+001F (no white space to the tokenizer), and some marks.
+_FOLDING = "".join(c for c in map(chr, range(0x250)) if c not in "\x1c\x1d\x1e\x1f" and len(c.lower()) == 1 and c.lower() < "\u0250")
+PLAIN = re.compile(f"[{re.escape(_FOLDING)}‐-‧]*")
+SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zA-ZªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-zA-ZªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾]+")
 
 
 class WordTokenizer:
@@ -57,7 +59,7 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
+    def word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of each word, encoded as one text, which is cut where words end, or one by one where the count differs."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
@@ -69,20 +71,20 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         words: list[list[str] | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if "<|" in t or not _PLAIN.fullmatch(t)]
+        odd = [i for i, t in enumerate(texts) if "<|" in t or not PLAIN.fullmatch(t)]
         for i in range(0, len(odd), 64):
             for k, ids in zip(odd[i : i + 64], self._ids([texts[k] for k in odd[i : i + 64]]), strict=True):
                 out[k] = ids
         new: set[str] = set()
         for i, t in enumerate(texts):
             if out[i] is None:
-                words[i] = _SPLIT.findall(t.lower())
+                words[i] = SPLIT.findall(t.lower())
                 new.update(words[i])
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         todo = list(new.difference(self.cache))
         for i in range(0, len(todo), BATCH_WORDS):
-            self.cache.update(zip(todo[i : i + BATCH_WORDS], self._word_ids(todo[i : i + BATCH_WORDS]), strict=True))
+            self.cache.update(zip(todo[i : i + BATCH_WORDS], self.word_ids(todo[i : i + BATCH_WORDS]), strict=True))
         get = self.cache.__getitem__
         return [b"".join(map(get, w)) if x is None else x for x, w in zip(out, words, strict=True)]
 

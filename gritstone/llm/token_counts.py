@@ -3,14 +3,13 @@
 The tokenizer splits at white space before anything else, so a text's count is the sum over its pre-tokens, the runs
 between ASCII white space, whatever stands next to them. A first pass over all texts finds the frequent pre-tokens: each
 task keeps a summary of bounded size (Misra and Gries), and only summaries are merged, a few at a time. Their token
-counts are the first tier, a packed table sent to every task; the rest is the second tier: each worker encodes a
-pre-token it does not know, many together, and remembers it in a cache of bounded size. The table decides where a count
-is looked up, never what it is.
+counts are the first tier, a packed table sent to every task; the rest is the second tier: each worker looks in caches of
+bounded size, of pre-tokens and of the words they consist of, and encodes the words it does not know, many together. Table
+and caches decide where a count is looked up, never what it is.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 from collections import Counter
@@ -22,14 +21,16 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gritstone.llm.packing import PLAIN, SPLIT, tokenizer_at
 from gritstone.llm.store import Scratch, let_workers_import
 
 VOCABULARY = "word_bpe_49k.json"
 FREQUENT = 8192  # pre-tokens of the first tier, and of each summary
 FAN = 16  # summaries merged at a time
-CACHE = 200_000  # pre-tokens that a worker remembers
+CACHE = 400_000  # pre-tokens, and words, that a worker remembers
 LONGEST = 64  # bytes of a pre-token that is kept in either tier
 SEGMENT = 1 << 20  # bytes of texts handled at once
+BATCH_WORDS = 512  # new words encoded together
 LIMIT = 2048
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -103,21 +104,9 @@ def frequent_units(docs: DataFrame, k: int = FREQUENT, text: str = "text") -> li
     return [u for u, _ in sorted(last.items(), key=lambda x: (-x[1], x[0]))]
 
 
-_tokenizers: dict[str, object] = {}
-
-
-def _encoder(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
-
-
 def lengths_of(units: list[bytes], path: str) -> list[int]:
     """Tokens of each pre-token by the library; bytes that are no UTF-8 count as the replacement character."""
-    encoder, out = _encoder(path), []
+    encoder, out = tokenizer_at(path).tokenizer, []
     for i in range(0, len(units), 1024):
         texts = [u.decode("utf-8", "replace") for u in units[i : i + 1024]]
         out += [len(e.ids) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
@@ -131,13 +120,36 @@ def packed_table(units: list[bytes], path: str) -> tuple[bytes, np.ndarray, np.n
 
 
 class TwoTiers:
-    """Counts tokens of UTF-8 texts: frequent pre-tokens by the table, others by the cache, new ones by the library."""
+    """Counts tokens of UTF-8 texts: frequent pre-tokens by the table, others by the caches, new words by the library."""
 
     def __init__(self, table: tuple[bytes, np.ndarray, np.ndarray], path: str, cache: int = CACHE):
         keys, ends, n = table
         starts = [0, *ends.tolist()[:-1]]
         self.frequent = {keys[a:b]: c for a, b, c in zip(starts, ends.tolist(), n.tolist(), strict=False)}
-        self.path, self.most, self.cache = path, cache, {}
+        self.path, self.most, self.units, self.words = path, cache, {}, {}
+
+    def _encoded(self, units: list[bytes]) -> dict[bytes, int]:
+        """Counts of new pre-tokens: by their words, or by the library where it might split or fold in another way."""
+        split, odd, words = {}, [], set()
+        for u in units:
+            text = u.decode("utf-8", "replace")
+            if "<|" in text or not PLAIN.fullmatch(text):
+                odd.append(u)
+            else:
+                split[u] = SPLIT.findall(text.lower())
+                words.update(split[u])
+        fresh = list(words.difference(self.words))
+        size = {}
+        for i in range(0, len(fresh), BATCH_WORDS):
+            some = fresh[i : i + BATCH_WORDS]
+            size.update((w, len(ids) // 4) for w, ids in zip(some, tokenizer_at(self.path).word_ids(some), strict=True))
+        known = self.words
+        out = {u: sum(size[w] if w in size else known[w] for w in own) for u, own in split.items()}
+        out.update(zip(odd, lengths_of(odd, self.path), strict=True))
+        if len(self.words) + len(size) > self.most:
+            self.words = {}
+        self.words.update((w, n) for w, n in size.items() if len(w) <= LONGEST)
+        return out
 
     def _add(self, held: list[tuple[int, list[bytes]]], out: list[int]) -> None:
         rare: list[tuple[int, list[bytes]]] = []
@@ -147,13 +159,13 @@ class TwoTiers:
             out[i] += sum(filter(None, n))
             if None in n:
                 rare.append((i, [u for u, c in zip(units, n, strict=True) if c is None]))
-        new = list({u for _, units in rare for u in units if u not in self.cache})
-        fresh = dict(zip(new, lengths_of(new, self.path), strict=True))
+        fresh = self._encoded(list({u for _, units in rare for u in units}.difference(self.units)))
+        known = self.units
         for i, units in rare:
-            out[i] += sum(fresh[u] if u in fresh else self.cache[u] for u in units)
-        if len(self.cache) + len(fresh) > self.most:
-            self.cache.clear()
-        self.cache.update((u, c) for u, c in fresh.items() if len(u) <= LONGEST)
+            out[i] += sum(fresh[u] if u in fresh else known[u] for u in units)
+        if len(known) + len(fresh) > self.most:
+            self.units = {}
+        self.units.update((u, c) for u, c in fresh.items() if len(u) <= LONGEST)
 
     def count(self, texts: Iterable[bytes]) -> list[int]:
         held, size, out = [], 0, []

@@ -176,3 +176,13 @@ def test_frequent_pre_tokens_come_from_all_tasks(spark):
     assert found[0] == b"hot" and len(found) <= 64
     counts = T.summary((t.encode() for _, t in rows), 64)
     assert 8000 - 400 * 50 / 64 <= counts[b"hot"] <= 8000
+
+
+def test_ids_of_every_code_point_are_the_tokenizer_s():
+    """Packing's words give the library's ids for each code point up to U+2100 in five contexts."""
+    from gritstone.llm import packing
+
+    encoder = packing.WordTokenizer(packing.default_tokenizer())
+    texts = [s for c in range(1, 0x2100) for ch in [chr(c)] for s in (f"ab {ch} cd", f"ab{ch} cd", f"ab {ch}cd", f"A{ch}b", ch)]
+    want = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in want]
