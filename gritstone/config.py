@@ -30,10 +30,19 @@ class Config:
     vector_top_k: int = 50
     final_top_k: int = 10
     query_block: int = 1024  # queries compared at once with row_block rows
-    row_block: int = 8192
+    row_block: int = 2048
+    pass_queries: int = 8192  # queries that one scan of the rows answers; their vectors are sent to every task
+    # approximate search
+    approximate: bool = False  # search by the index, if there is one
+    index_lists: int = 0  # 0: the square root of the number of rows, 4096 at most
+    index_sample: int = 50_000  # vectors that the centroids are fitted to
+    index_queries: int = 500  # of them, those that recall is measured with
+    index_recall: float = 0.97  # of the cfg.vector_top_k nearest; decides how many lists are probed
     # storage
     table_path: str = "patent_chunks"
     batch_size: int = 100
     buckets: int = 32  # for some hundred thousand chunks; so many that one bucket is rewritten in a few minutes
     rows_per_file: int = 100_000
+    max_segments: int = 8  # of upserts that are not yet merged
+    fold_share: float = 0.25  # of the base's rows, from which segments are folded into it
     files_per_trigger: int = 1000  # of a stream

@@ -25,10 +25,10 @@ def embed(rows: DataFrame, cfg: Config, text: str = "text", vector: str = "vecto
     factory = models.EMBEDDERS[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = models.loaded(factory, dim)
         for batch in batches:
             if not batch.num_rows:
                 continue
+            model = models.loaded(factory, dim)  # not before there is a row for it
             v = np.asarray(model([t or "" for t in batch.column(at).to_pylist()]), np.float64)
             if v.shape != (batch.num_rows, dim):
                 raise ValueError(f"model {name!r} gave vectors of shape {v.shape} for {batch.num_rows} texts; {dim} dimensions are asked for")

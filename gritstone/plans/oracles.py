@@ -230,3 +230,4 @@ ORACLES: dict[str, str] = {
     "document_metadata_join": "SELECT doc_id, lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)",
 }
 ORACLES["collection_upsert"] = ORACLES["upsert_merge"]
+ORACLES["inverted_file_all_lists"] = ORACLES["vector_top_k"]

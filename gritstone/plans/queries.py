@@ -12,6 +12,7 @@ from gritstone.functions import text as T
 from gritstone.functions.vectors import norm, unit
 from gritstone.operators import chunks as C
 from gritstone.operators import embed as E
+from gritstone.operators import inverted_file as I
 from gritstone.operators import prompts as P
 from gritstone.operators import report as R
 from gritstone.operators import search as Q
@@ -22,7 +23,7 @@ from gritstone.plans import jobs
 from gritstone.plans.fixture import TABLE_CONFIG as CFG
 from gritstone.plans.fixture import benchmark_queries, patents, table
 from gritstone.sources.scratch import Scratch
-from gritstone.sources.table import merged, read_collection, upsert
+from gritstone.sources.table import bucket, collection, merged, read_collection, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -209,8 +210,7 @@ def _vectors(spark, d):
 def cosine_scores(spark, d):
     """Per query and label: points, and the least, mean and greatest cosine."""
     asked, rows = _vectors(spark, d)
-    scores = Q.block_scores(asked, rows, CFG, None).join(rows.select("id", "label"), "id")
-    return scores.groupBy("query_id", "label").agg(F.count("*").alias("points"), F.min("score").alias("least"), F.round(F.avg("score"), 4).alias("mean"), F.max("score").alias("most"))
+    return Q.score_stats(asked, rows, "label", CFG).withColumn("mean", F.round("mean", 4))
 
 
 @query
@@ -219,29 +219,71 @@ def vector_top_k(spark, d):
     return Q.vector_search(asked, rows, CFG)
 
 
+def _label_hits(spark, d):
+    asked, rows = _vectors(spark, d)
+    return Q.vector_search(asked, rows, CFG).join(rows.select("id", "label"), "id")
+
+
 @query
 def hits_with_payload(spark, d):
-    asked, rows = _vectors(spark, d)
-    return Q.vector_search(asked, rows, CFG).join(rows.select("id", "label"), "id").select("query_id", "id", "label", "vector_rank")
+    return _label_hits(spark, d).select("query_id", "id", "label", "vector_rank")
 
 
 @query
 def label_results(spark, d):
     """Vector hits by label: best score, best point and number of hits."""
-    hits = hits_with_payload(spark, d).join(vector_top_k(spark, d).select("query_id", "id", "vector_score"), ["query_id", "id"])
-    return hits.groupBy("query_id", "label").agg(F.max("vector_score").alias("score"), F.min_by("id", "vector_rank").alias("best_id"), F.count("*").alias("hits"))
+    return _label_hits(spark, d).groupBy("query_id", "label").agg(F.max("vector_score").alias("score"), F.min_by("id", "vector_rank").alias("best_id"), F.count("*").alias("hits"))
+
+
+def _index(spark, d):
+    """An inverted file of all rows, and the queries of ``_vectors``."""
+    asked, rows = _vectors(spark, d)
+    points = rows.select(F.col("id").alias("chunk_id"), F.col("label").alias("patent_id"), "vector", F.lit(0).alias("home"))
+    return asked, I.build_index(spark, points, f"{Scratch(spark, 'index').base}/index", CFG)
+
+
+@query
+def inverted_file_top_k(spark, d):
+    """Nearest rows from as many lists a query as the index was measured to need."""
+    asked, index = _index(spark, d)
+    return I.approximate_search(asked, index, CFG).drop("part")
+
+
+@query
+def inverted_file_all_lists(spark, d):
+    """The same with all lists probed, which is exact."""
+    asked, index = _index(spark, d)
+    return I.approximate_search(asked, index, CFG, len(index.centroids)).drop("part")
+
+
+@query
+def inverted_file_recall(spark, d):
+    """Share of the exact hits of ``vector_top_k`` that the index finds, and the lists it looks in for that."""
+    asked, index = _index(spark, d)
+    exact = vector_top_k(spark, d).select("query_id", "id")
+    found = I.approximate_search(asked, index, CFG).select("query_id", "id", F.lit(1).alias("hit"))
+    counts = exact.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("hits"), F.count("hit").alias("found"))
+    lists, probes = F.lit(len(index.centroids)).alias("lists"), F.lit(index.probes(CFG.index_recall)).alias("probes")
+    return counts.select(lists, probes, "hits", "found", F.round(F.col("found") / F.nullif("hits", F.lit(0)), 6).alias("recall"))
+
+
+def _stored(spark, d):
+    """All chunks in a collection, as ingest stores them."""
+    table = collection(spark, f"{Scratch(spark, 'collection').base}/table", CFG)
+    table.upsert(_collection(spark, d).withColumn("bucket", bucket(CFG)))
+    return table
 
 
-def _hits(spark, d):
-    """The collection, stored once as ingest would, and its hits for every benchmark text."""
-    asked = E.embed(benchmark_queries(spark, d), CFG, "query_text", "query_vector")
-    rows = Scratch(spark, "collection").keep(_collection(spark, d), "chunks")
-    return rows, Q.vector_search(asked, rows.select(F.col("chunk_id").alias("id"), "vector"), CFG)
+def _pairs(spark, d):
+    """Hits of every benchmark text with their chunk's payload."""
+    table, asked = _stored(spark, d), benchmark_queries(spark, d)
+    rows = table.rows().select(F.col("chunk_id").alias("id"), "vector", F.col("bucket").alias("part"))
+    hits = Q.vector_search(E.embed(asked, CFG, "query_text", "query_vector"), rows, CFG)
+    return Q.with_payload(hits, table, asked)
 
 
 def _reranked(spark, d):
-    rows, hits = _hits(spark, d)
-    return Q.rerank(Q.with_payload(hits, rows, benchmark_queries(spark, d)), CFG)
+    return Q.rerank(_pairs(spark, d), CFG)
 
 
 def _results(spark, d):
@@ -250,16 +292,13 @@ def _results(spark, d):
 
 @query
 def rerank_pairs(spark, d):
-    rows, hits = _hits(spark, d)
-    pairs = Q.with_payload(hits, rows, benchmark_queries(spark, d))
-    return pairs.select("query_id", "chunk_id", "vector_score", "vector_rank", F.length("query_text").alias("query_chars"), F.length("text").alias("text_chars"))
+    return _pairs(spark, d).select("query_id", "chunk_id", "vector_score", "vector_rank", F.length("query_text").alias("query_chars"), F.length("text").alias("text_chars"))
 
 
 @query
 def rerank_scores(spark, d):
-    rows, hits = _hits(spark, d)
     every = replace(CFG, final_top_k=CFG.vector_top_k)
-    return Q.rerank(Q.with_payload(hits, rows, benchmark_queries(spark, d)), every).select("query_id", "chunk_id", "rerank_score")
+    return Q.rerank(_pairs(spark, d), every).select("query_id", "chunk_id", "rerank_score")
 
 
 @query

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KNOWN = ["patent_id", "title", "filing_date", "classification_codes", "inventors"]
 
 
-def _stem(pattern: str):
-    return F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
+def _stem(suffix: str):
+    """File name without its suffix; Spark gives names as parts of a URI, where a plus sign stands for itself."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(name, rf"(?s)^(.*)\.{suffix}$", 1)
+
 
+def literal(path: str) -> str:
+    """A path whose characters Spark's reader takes as they are, not as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
-def text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """stem, text: one row for each .txt file."""
-    raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return raw.select(_stem(r"^(.*)\.txt$").alias("stem"), F.col("value").alias("text"))
+
+def text_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """stem, text: one row for each .txt file of folders or among files."""
+    if not paths:
+        return spark.createDataFrame([], "stem string, text string")
+    raw = spark.read.option("pathGlobFilter", "*.txt").text(list(paths), wholetext=True)
+    return raw.select(_stem("txt").alias("stem"), F.col("value").alias("text"))
 
 
 def metadata_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -23,7 +34,7 @@ def metadata_files(spark: SparkSession, *paths: str) -> DataFrame:
     if not paths:
         return parsed_metadata(spark.createDataFrame([], "stem string, value string"))
     raw = spark.read.option("pathGlobFilter", "*.json").text(list(paths), wholetext=True)
-    return parsed_metadata(raw.select(_stem(r"^(.*)\.json$").alias("stem"), "value"))
+    return parsed_metadata(raw.select(_stem("json").alias("stem"), "value"))
 
 
 def parsed_metadata(raw: DataFrame) -> DataFrame:
@@ -40,9 +51,9 @@ def parsed_metadata(raw: DataFrame) -> DataFrame:
 
 def load_patents(spark: SparkSession, folder: str) -> DataFrame:
     """patent_id, text, metadata: texts with the metadata beside them; a text without any has null metadata and its stem as id."""
-    return with_metadata(text_files(spark, folder), metadata_files(spark, folder))
+    return with_metadata(text_files(spark, folder), metadata_files(spark, folder)).drop("stem")
 
 
 def with_metadata(texts: DataFrame, metadata: DataFrame) -> DataFrame:
     joined = texts.join(metadata, "stem", "left")
-    return joined.select(F.coalesce("patent_id", "stem").alias("patent_id"), "text", "metadata")
+    return joined.select(F.coalesce("patent_id", "stem").alias("patent_id"), "text", "metadata", "stem")

@@ -7,9 +7,10 @@ from dataclasses import replace
 import pytest
 
 from gritstone.config import Config
+from gritstone.functions import models
 from gritstone.plans import jobs
 from gritstone.sources.files import load_patents
-from gritstone.sources.table import in_batches, read_collection, upsert
+from gritstone.sources.table import collection, in_batches, read_collection, upsert
 from gritstone.streaming.ingest import stream_ingest
 
 WORDS = " ".join(f"word{i}" for i in range(40))
@@ -61,6 +62,80 @@ def test_upsert_replaces_inserts_and_leaves(spark, tmp_path):
     assert sorted(tuple(r) for r in read_collection(spark, path).select("chunk_id", "v").collect()) == [("a::1", 3), ("b::1", 1), ("c::1", 2)]
 
 
+def test_names_of_any_kind_and_metadata_before_with_and_after_its_text(spark, tmp_path):
+    """Batch then stream gives each patent once; a .json that comes later renames and completes its patent."""
+    cfg = replace(Config(), vector_size=16, table_path=str(tmp_path / "table"), buckets=2)
+    run = lambda: stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "checkpoint"), cfg).awaitTermination()
+    seen = lambda: {(r.patent_id, r.title) for r in read_collection(spark, cfg.table_path).select("patent_id", "metadata.title").collect()}
+    odd = ["p 1", "a+b", "50%25 off", "über", "x[1]{2}"]
+    for i, name in enumerate(odd):
+        write(tmp_path / "in", name, meta={"patent_id": f"US{i}", "title": name})
+    write(tmp_path / "in", "plain name")
+    jobs.ingest(spark, str(tmp_path / "in"), cfg)
+    want = {(f"US{i}", name) for i, name in enumerate(odd)} | {("plain name", None)}
+    assert seen() == want
+    number = collection(spark, cfg.table_path, cfg).version().number
+    run()
+    assert seen() == want and collection(spark, cfg.table_path, cfg).version().number == number  # nothing had changed
+    (tmp_path / "in/plain name.json").write_text(json.dumps({"patent_id": "US77", "title": "late"}))
+    (tmp_path / "in/early.json").write_text(json.dumps({"patent_id": "US88", "title": "early"}))
+    run()
+    want = want - {("plain name", None)} | {("US77", "late")}
+    assert seen() == want
+    (tmp_path / "in/US77.json").write_text(json.dumps({"patent_id": "US99"}))  # of no text: US77 stays
+    write(tmp_path / "in", "early")
+    run()
+    assert seen() == want | {("US88", "early")}
+
+
+def test_unchanged_chunks_cost_no_model_call(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def factory(dim):
+        def model(texts):
+            with open(log, "a") as f:
+                f.write("x" * len(texts))
+            return [[1.0, *[len(t) / 1000] * (dim - 1)] for t in texts]
+
+        return model
+
+    calls = lambda: os.path.getsize(log) if os.path.exists(log) else 0
+    models.EMBEDDERS["counting"] = factory
+    cfg = replace(Config(), vector_size=4, table_path=str(tmp_path / "table"), buckets=2, embedding_model="counting")
+    write(tmp_path / "in", "US1")
+    write(tmp_path / "in", "US2", text="ABSTRACT\n" + " ".join(f"other{i}" for i in range(30)))
+    jobs.ingest(spark, str(tmp_path / "in"), cfg)
+    assert calls() == 3
+    jobs.ingest(spark, str(tmp_path / "in"), cfg)
+    assert calls() == 3 and collection(spark, cfg.table_path, cfg).version().number == 1
+    before = {r.chunk_id: r.vector for r in read_collection(spark, cfg.table_path).collect()}
+    write(tmp_path / "in", "US2", text="ABSTRACT\n" + " ".join(f"other{i}" for i in range(31)), meta={"title": "T"})
+    write(tmp_path / "in", "US1", meta={"title": "new title alone"})
+    jobs.ingest(spark, str(tmp_path / "in"), cfg)
+    rows = {r.chunk_id: r for r in read_collection(spark, cfg.table_path).collect()}
+    assert calls() == 4 and len(rows) == 3 and {r.metadata.title for r in rows.values()} == {"T", "new title alone"}
+    assert [k for k, r in rows.items() if r.vector != before[k]] == ["US2::1::0"]
+    jobs.ingest(spark, str(tmp_path / "in"), replace(cfg, vector_size=5, table_path=str(tmp_path / "other")))
+    assert calls() == 7
+
+
+def test_approximate_search_follows_the_collection(spark, tmp_path):
+    cfg = replace(Config(), vector_size=32, table_path=str(tmp_path / "table"), buckets=4, approximate=True, index_lists=3)
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    for i in range(8):
+        write(tmp_path / "in", f"US{i}", text=f"ABSTRACT\n{words(i)}")
+    jobs.ingest(spark, str(tmp_path / "in"), cfg)
+    index = jobs.build_index(spark, cfg)
+    assert len(index.centroids) == 3 and index.recall[-1] == 1.0
+    asked = spark.createDataFrame([(1, "w5x1 w5x2 w5x3"), (2, "w9x4 w9x5")], "query_id long, query_text string")
+    best = lambda c: {r.query_id: (r.patent_id, r.score) for r in jobs.search(spark, asked, c).where("patent_rank = 1").collect()}
+    assert best(cfg)[1][0] == "US5"
+    write(tmp_path / "in", "US9", text=f"ABSTRACT\n{words(9)}")
+    write(tmp_path / "in", "US5", text=f"ABSTRACT\n{words(77)}")
+    jobs.ingest(spark, str(tmp_path / "in"), cfg)
+    assert best(cfg)[2][0] == "US9" and best(cfg) == best(replace(cfg, approximate=False)) and best(cfg)[1][1] < 1
+
+
 def test_batches_for_a_sink(spark, tmp_path):
     folder = str(tmp_path)
 
