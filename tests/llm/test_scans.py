@@ -1,7 +1,10 @@
 """Secret, license and benchmark scans and URL filters against plain Python on small tables."""
 
 import hashlib
+import random
 import re
+import string
+import time
 
 import numpy as np
 import pytest
@@ -71,6 +74,42 @@ def test_network_tells_planted_secrets_from_look_alikes(net):
     assert said[label == 1].mean() >= 0.95 and said[label == 0].mean() <= 0.10
 
 
+ALNUM = string.ascii_letters + string.digits
+FAMILIES = {"ghp_": 36, "xoxb-123456789012-": 24, "sk_live_": 28, "AIza": 35, "glpat-": 20}
+
+
+@pytest.mark.parametrize("share", [0, 0.02, 0.3, 0.9])
+def test_tokens_that_no_pattern_knows_are_found_however_many_train(share):
+    """Networks of corpora in which a share of the documents holds unlisted tokens, on fresh tokens and fresh look-alikes."""
+    r = random.Random(int(share * 100))
+    word = lambda: "".join(r.choices(string.ascii_lowercase, k=r.randint(2, 9)))
+    words = lambda *more: " ".join([*(word() for _ in range(6)), *more, *(word() for _ in range(6))])
+    token = lambda f: f + "".join(r.choices(ALNUM, k=FAMILIES[f]))
+    look = lambda: r.choice([f"{word()}-{word()}-{r.randint(1, 999)}", f"v{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}-{word()}", f"2024-03-{r.randint(10, 31)}T10", f"{word()}.{word()}.com/{word()}/{word()}{r.randint(1, 99)}.html", f"{word()}_{word()}_{r.randint(1, 99)}"])
+    docs = [words(*([token(r.choice(list(FAMILIES)))] if r.random() < share else []), *([look()] if r.random() < 0.3 else []), *(["password = " + "".join(r.choices(ALNUM, k=12))] if r.random() < 0.1 else [])) for _ in range(2000)]
+    data = [(S.window_of(t, a, b), kind, label) for t in docs for a, b, kind, label in S.labelled(t)]
+    net = S.trained(data, [(t[30:54], t[20:32]) for t in docs])
+    said = lambda value: bool(S.findings(words(value), net)[1])
+    assert {f: np.mean([said(token(f)) for _ in range(200)]) >= 0.95 for f in FAMILIES} == dict.fromkeys(FAMILIES, True)
+    assert np.mean([said(look()) for _ in range(600)]) < 0.02
+
+
+def test_candidates_without_a_known_label_train_nothing():
+    text = f"see ghp_{'aB3' * 12} and page-12 of some-thing-here-42 password=abcdefgh1234 end"
+    assert [(text[a:b], label) for a, b, _, label in S.labelled(text)] == [("some-thing-here-42", 0), ("password=abcdefgh1234", 1), ("abcdefgh1234", 1)]
+
+
+def test_time_is_linear_in_a_text_of_keys(net):
+    took = []
+    for n in 4000, 16000:
+        text = " ".join(f"{i:040x}" for i in range(10**30, 10**30 + n))
+        began = time.process_time()
+        base, more = S.findings(text, net)
+        assert len(base) == n and not more and sum(label for *_, label in S.labelled(text)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_network_adds_a_secret_that_no_pattern_knows(spark, net):
     value = "ghp_R4nD0mT0k3nV4lu3xYz0123456789abcdEF"
     rows = S.find_secrets(table(spark, [f"deploy with {value} now", "see page index.html at mail7.example.com today"]), net).collect()
