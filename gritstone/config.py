@@ -16,7 +16,7 @@ class Config:
     max_chunk_tokens: int = 256
     min_chunk_tokens: int = 20
     token_counter: str = "regex"  # or a name in functions.models.TOKEN_COUNTERS
-    fragment_words: int | None = None  # words and marks of a cut sentence's pieces; max_chunk_tokens if None
+    fragment_words: int | None = None  # words and marks of a cut sentence's pieces, whatever their tokens
     overlap_strategy: str = "last_sentence"  # or last_unit, none
     # validation
     low_info_threshold: float = 0.30

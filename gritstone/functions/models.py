@@ -54,14 +54,26 @@ def lexical_reranker() -> Reranker:
 TokenCounter = Callable[[list[str]], list[int]]
 
 
+class FileTokens:
+    """Counts tokens by a tokenizer's vocabulary file, and says where tokens start."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def starts(self, text: str) -> list[int]:
+        return [a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets]
+
+
 def file_token_counter(path: str) -> Callable[[], TokenCounter]:
     """A factory of counters by the tokenizer in ``path``, a vocabulary file that every executor can read."""
 
     def load() -> TokenCounter:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return FileTokens(path)
 
     return load
 

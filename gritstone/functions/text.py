@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,6 +55,74 @@ def tokens_of(text: Column, cfg: Config) -> Column:
     return count(text)
 
 
+def cost_of(text: Column, cfg: Config) -> Column:
+    """Tokens that a text takes in a chunk at most: by itself, or after another text and a space, whichever is more."""
+    if cfg.token_counter == "regex":
+        return token_count(text)
+    factory = models.TOKEN_COUNTERS[cfg.token_counter]
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = models.loaded(factory)
+        for texts in batches:
+            yield pd.Series(_costs(model, texts.fillna("").tolist()), dtype="int32")
+
+    return count(text)
+
+
+def _costs(counter: Callable, texts: list[str]) -> list[int]:
+    return [max(a, b) for a, b in zip(counter(texts), counter([" " + t for t in texts]), strict=True)]
+
+
+def cut_text(text: str, most: int, counter: Callable) -> list[str]:
+    """Pieces of ``text`` that cost at most ``most`` tokens by ``counter`` without the white space around them, if a
+    single character does; together they are the text.
+
+    Cuts are made where the counter says that tokens start (``counter.starts``), of a counter that does not say it between
+    characters; the last place between words counts first, if it is not in the first half. Each piece is counted.
+    """
+    fits = lambda t: _costs(counter, [t.strip()])[0] <= most
+    starts = counter.starts(text) if hasattr(counter, "starts") else range(1, len(text))
+    words = {m.end() for m in re.finditer(r"\s+", text)}
+    cuts = sorted({x for x in starts if 0 < x < len(text)} | words | {len(text)})
+    out, at = [], 0
+    while at < len(text):
+        first = bisect_right(cuts, at)
+        # the longest piece that fits: grown from ``most`` cuts, for a cut may stand for less than a token, and then halved
+        low, high = first, min(len(cuts), first + most)
+        while high < len(cuts) and fits(text[at : cuts[high - 1]]):
+            low, high = high - 1, min(len(cuts), high + most)
+        while low + 1 < high:
+            middle = (low + high) // 2
+            low, high = (middle, high) if fits(text[at : cuts[middle]]) else (low, middle)
+        if low + 1 < len(cuts) and high == len(cuts) and fits(text[at : cuts[-1]]):
+            low = len(cuts) - 1
+        end = cuts[low]
+        if end < len(text) and end not in words:
+            between = next((c for c in reversed(cuts[first : low + 1]) if c in words and 2 * (c - at) > end - at), end)
+            end = between if fits(text[at:between]) else end
+        if not fits(text[at:end]) and end - at > 1:  # one token's place that is too much: by halves, to single characters
+            end = at + max(1, (end - at) // 2)
+            while end - at > 1 and not fits(text[at:end]):
+                end = at + (end - at) // 2
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def token_fragments(text: Column, cfg: Config) -> Column:
+    """``cut_text`` by the counter that ``cfg`` names, for texts that are not null."""
+    factory, most = models.TOKEN_COUNTERS[cfg.token_counter], cfg.max_chunk_tokens
+
+    @F.pandas_udf("array<string>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = models.loaded(factory)
+        for texts in batches:
+            yield pd.Series([None if t is None else cut_text(t, most, model) for t in texts.tolist()], dtype=object)
+
+    return cut(text)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.config import Config
-from gritstone.functions.text import sentences, strip_end, tokens_of, word_count
+from gritstone.functions.text import cost_of, sentences, strip_end, tokens_of, word_count
 
 
 def last_sentence(text: Column) -> Column:
@@ -48,6 +48,8 @@ def chunks(units: DataFrame, cfg: Config) -> DataFrame:
     """
     carried = {"last_sentence": last_sentence(F.col("text")), "last_unit": F.col("text"), "none": F.lit("")}[cfg.overlap_strategy]
     one = units.withColumn("tail", carried).withColumn("tail_tokens", tokens_of(F.col("tail"), cfg))
+    if cfg.token_counter != "regex":  # what counts is a unit's share of its chunk
+        one = one.withColumn("token_count", cost_of(F.col("text"), cfg))
     packed = one.groupBy("patent_id", "section_idx", "section").agg(
         F.sort_array(F.collect_list(F.struct("unit_idx", "text", "token_count", "start_offset", "end_offset", "tail", "tail_tokens"))).alias("units")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gritstone.config import Config
-from gritstone.functions.text import fragments, sentences, strip_end, tokens_of
+from gritstone.functions.text import cost_of, fragments, sentences, strip_end, token_fragments, tokens_of
 
 
 def paragraphs(body: Column, cfg: Config) -> Column:
@@ -26,18 +26,20 @@ def _pieces(rows: DataFrame, parts: Column, keep: list[str], number: str, start:
 def units(sections: DataFrame, cfg: Config) -> DataFrame:
     """patent_id, section_idx, section, unit_idx, kind, text, token_count, start_offset, end_offset.
 
-    Fragments are cut by words and marks: with a token counter that splits words, cfg.fragment_words should be so much
-    smaller that a fragment fits. Offsets are code points of the document's text, end exclusive. White space at a unit's end is left out; blank pieces
+    Fragments are cut by words and marks, or where a token counter's own tokens start; either way each fits. Offsets are code points of the document's text, end exclusive. White space at a unit's end is left out; blank pieces
     are no units.
     """
-    fits = lambda c: tokens_of(c, cfg) <= cfg.max_chunk_tokens
+    by_words = cfg.token_counter == "regex" or cfg.fragment_words
+    fits = lambda c: cost_of(c if cfg.token_counter == "regex" else strip_end(c), cfg) <= cfg.max_chunk_tokens
     ids = ["patent_id", "section_idx", "section"]
     p = _pieces(sections, paragraphs(F.col("body"), cfg), ids, "p", F.col("body_start"))
     p = p.withColumn("whole_paragraph", fits(F.col("piece")))
     cut = F.when(F.col("whole_paragraph"), F.array("piece")).otherwise(sentences(F.col("piece")))
     s = _pieces(p, cut, [*ids, "p", "whole_paragraph"], "s", F.col("start_offset"))
     s = s.withColumn("whole_sentence", fits(F.col("piece")))
-    cut = F.when(F.col("whole_sentence"), F.array("piece")).otherwise(fragments(F.col("piece"), cfg.fragment_words or cfg.max_chunk_tokens))
+    long = F.when(~F.col("whole_sentence"), F.col("piece"))
+    pieces = fragments(long, cfg.fragment_words or cfg.max_chunk_tokens) if by_words else token_fragments(long, cfg)
+    cut = F.when(F.col("whole_sentence"), F.array("piece")).otherwise(pieces)
     f = _pieces(s, cut, [*ids, "p", "whole_paragraph", "s", "whole_sentence"], "f", F.col("start_offset"))
     text = strip_end(F.col("piece"))
     order = Window.partitionBy("patent_id", "section_idx", "section").orderBy("p", "s", "f")
