@@ -1,10 +1,11 @@
 """Sum-of-squares online packing of token sequences into windows of 4096.
 
-Each task tokenises its documents and packs them as they come: full windows are cut off long documents, and of what is
-left all but the last few tokens, a multiple of UNIT, goes to the fill level whose choice keeps the sum of squared counts
-of partially filled windows smallest. The counts are a level array of 4096 / UNIT numbers: with so few levels windows
-close soon, and few are open at a task's end. The last tokens of documents, fewer than UNIT of each, are laid end to end.
-Nothing is shuffled: a task's windows hold its own rows, and a lost task packs the same rows the same way again.
+Each task tokenises its documents and packs them as they come: full windows are cut off long documents, and what is left,
+for most documents the whole, is placed in one window, at the fill level whose choice keeps the sum of squared counts of
+partially filled windows smallest. The counts are a level array: a level is 1 / LEVELS of a window, and a document takes
+whole levels, so a closed window has a few tokens of padding for each document in it. With so few levels windows close
+soon, and few are open at a task's end. Nothing is shuffled: a task's windows hold its own rows, and a lost task packs
+the same rows the same way again.
 
 At the end of a task the windows still open are placed into each other by the same rule; what remains is joined and cut
 at 4096, and the last rest into powers of two, which need no padding.
@@ -15,7 +16,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gritstone.llm.store import let_workers_import
 
 WINDOW = 4096
-UNIT = 64  # tokens of a fill level
+LEVELS = 256  # of a window's filling
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 400_000  # words kept with their ids in each worker
@@ -148,44 +148,35 @@ def cut_rest(pieces: list[tuple], window: int = WINDOW) -> Iterator[list[tuple]]
         yield part
 
 
-def pack_stream(lengths: Iterator[tuple[int, int]], window: int = WINDOW, unit: int = UNIT) -> Iterator[tuple[int, list[tuple[int, int, int]], str]]:
+def pack_stream(lengths: Iterator[tuple[int, int]], window: int = WINDOW) -> Iterator[tuple[int, list[tuple[int, int, int]], str]]:
     """(sequence, [(row, start, length) ...], kind) from (row, tokens) pairs, each sequence once, when it is closed.
 
-    The kind says how it came about: ``long`` (part of one document), ``levels`` (by sum of squares), ``ends`` (last
-    tokens of documents) or ``rest`` (cut at the end).
+    The kind says how it came about: ``long`` (part of one document), ``levels`` (by sum of squares, pieces not cut) or
+    ``rest`` (cut at the end).
     """
-    unit = gcd(unit, window)
-    levels, held, fresh = SumOfSquares(window // unit), {}, 0
-    ends: list[tuple] = []
-    size = 0
+    unit = max(1, window // LEVELS) if window % LEVELS == 0 else 1  # tokens of a level
+    full, fresh = window // unit, 0
+    steps = lambda pieces: sum(-(-p[2] // unit) for p in pieces)
+    levels, held = SumOfSquares(full), {}
     for row, n in lengths:
         start = 0
         while n - start >= window:
             yield fresh, [(row, start, window)], "long"
             fresh, start = fresh + 1, start + window
-        body = (n - start) // unit
-        if body:
-            number, level = levels.place(body, fresh)
+        if n > start:
+            own = (row, start, n - start)
+            number, level = levels.place(steps([own]), fresh)
             fresh += number == fresh and level == 0
-            held.setdefault(number, []).append((row, start, body * unit))
-            if level + body == window // unit:
+            held.setdefault(number, []).append(own)
+            if level + steps([own]) == full:
                 yield number, held.pop(number), "levels"
-        start += body * unit
-        if n > start:
-            ends.append((row, start, n - start))
-            size += n - start
-        if size >= window:
-            size -= window
-            last, at, k = ends.pop()
-            yield fresh, [*ends, (last, at, k - size)], "ends"
-            fresh, ends = fresh + 1, [(last, at + k - size, size)] if size else []
-    left, levels, held = sorted(((sum(p[2] for p in x), k, x) for k, x in held.items()), reverse=True), SumOfSquares(window // unit), {}
+    left, levels, held = sorted(((steps(x), k, x) for k, x in held.items()), reverse=True), SumOfSquares(full), {}
     for n, own, pieces in left:
-        number, level = levels.place(n // unit, own)
+        number, level = levels.place(n, own)
         held.setdefault(number, []).extend(pieces)
-        if level * unit + n == window:
+        if level + n == full:
             yield number, held.pop(number), "levels"
-    for part in cut_rest([*(p for number in sorted(held) for p in held[number]), *ends], window):
+    for part in cut_rest([p for number in sorted(held) for p in held[number]], window):
         yield fresh, part, "rest"
         fresh += 1
 
