@@ -286,3 +286,55 @@ def test_pipeline_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert key not in text.text and text.n_chars == len(text.text)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == sizes[-1]
+
+
+def open_page(i, own, shared):
+    return (i, f"http://h{i % 2}.example/dir{i // 10}/page{i:03d}", f"<html><body><div><p>{own}</p><p>{shared}</p></div></body></html>")
+
+
+def test_neighbours_do_not_depend_on_partitions(spark):
+    """Pages without an article, among them copies and repeated rows, dealt to 1, 4 and 40 tasks, in blocks of any size."""
+    rows = [open_page(i, f"story {speech('bb', 12, i)}", "the line that all pages of the host share") for i in range(60)]
+    rows += [open_page(100 + i, "one copy of many", "the line that all pages of the host share") for i in range(8)] + rows[3:5] + [(900, None, rows[0][2]), (901, None, rows[1][2])]
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    seen = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in 1, 4, 40:
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            df = spark.createDataFrame(rows if n != 4 else rows[::-1], "page_id long, url string, html string").repartition(n)
+            seen.append(sorted(map(repr, W.main_text(df).collect())))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+    assert not any("that all pages" in r for r in seen[0])
+
+
+def test_blocks_number_the_pages_of_a_host(spark, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK", 7)
+    rows = [(i, f"http://h{i % 3}.example/{i:03d}", f"h{i % 3}.example", f"/{i:03d}", [f"line {i}"], True) for i in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, path string, open array<string>, lacks boolean").repartition(9)
+    got = {r.page_id: (r.host, r.block) for r in W._numbered(W.Scratch(spark, "t"), df).collect()}
+    assert got == {i: (f"h{i % 3}.example", i // 3 // 7) for i in range(90)}
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "advert_top", "promo-box", "newsletter-signup", "sidebar-left", "post-comment", "user-comments", "comment-thread", "hidden"])
+def test_marked_parts_go_inside_an_article(name):
+    for mark in f'class="x {name}"', f"id='{name}'":
+        main, _ = W.lines_of(f"<body><article><p>kept</p><div {mark}><p>gone</p></div><p>too</p></article></body>")
+        assert main == ["kept", "too"]
+
+
+def test_other_classes_stay_and_wrappers_of_articles_too():
+    for name in "no-sidebar", "related-work", "with-banner", "headline", "adapter", "commentary":
+        assert W.lines_of(f'<body><div class="layout has-sidebar"><article><section class="{name}"><p>kept</p></section></article></div></body>')[0] == ["kept"]
+
+
+@pytest.mark.parametrize("broken", ['<a "', "<script ", '<div class="', "<!x ", "<a '\"<", "<i>"])
+def test_a_megabyte_of_broken_tags_takes_no_longer_than_its_length(broken):
+    import time
+
+    began = time.process_time()
+    W.lines_of(broken * (500_000 // len(broken)) + "</b>" * 125_000)
+    assert time.process_time() - began < 2
