@@ -55,22 +55,8 @@ def tokens_of(text: Column, cfg: Config) -> Column:
     return count(text)
 
 
-def cost_of(text: Column, cfg: Config) -> Column:
-    """Tokens that a text takes in a chunk at most: by itself, or after another text and a space, whichever is more."""
-    if cfg.token_counter == "regex":
-        return token_count(text)
-    factory = models.TOKEN_COUNTERS[cfg.token_counter]
-
-    @F.pandas_udf("int")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = models.loaded(factory)
-        for texts in batches:
-            yield pd.Series(_costs(model, texts.fillna("").tolist()), dtype="int32")
-
-    return count(text)
-
-
 def _costs(counter: Callable, texts: list[str]) -> list[int]:
+    """Tokens that each text takes in a chunk at most: by itself, or after another text and a space, whichever is more."""
     return [max(a, b) for a, b in zip(counter(texts), counter([" " + t for t in texts]), strict=True)]
 
 
@@ -110,17 +96,70 @@ def cut_text(text: str, most: int, counter: Callable) -> list[str]:
     return out
 
 
-def token_fragments(text: Column, cfg: Config) -> Column:
-    """``cut_text`` by the counter that ``cfg`` names, for texts that are not null."""
-    factory, most = models.TOKEN_COUNTERS[cfg.token_counter], cfg.max_chunk_tokens
+def _by_list(f: Callable[[list], list], lists: pd.Series) -> pd.Series:
+    """``f`` over the items of all lists at once, dealt back to the lists; null lists are empty."""
+    parts = [[] if x is None else list(x) for x in lists.tolist()]
+    out = iter(f([t for part in parts for t in part]))
+    return pd.Series([[next(out) for _ in part] for part in parts], dtype=object)
+
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _in_lists(texts: Column, cfg: Config, type_: str, f: Callable[[Callable, list], list]) -> Column:
+    factory = models.TOKEN_COUNTERS[cfg.token_counter]
+
+    @F.pandas_udf(f"array<{type_}>")
+    def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = models.loaded(factory)
-        for texts in batches:
-            yield pd.Series([None if t is None else cut_text(t, most, model) for t in texts.tolist()], dtype=object)
+        for lists in batches:
+            yield _by_list(lambda items: f(model, items), lists)
+
+    # so declared, it is kept in a step of its own and not copied into each expression that uses its result
+    return mapped.asNondeterministic()(texts)
+
+
+def all_tokens(texts: Column, cfg: Config) -> Column:
+    """``tokens_of`` each text of an array."""
+    if cfg.token_counter == "regex":
+        return F.transform(texts, token_count)
+    return _in_lists(texts, cfg, "int", lambda model, items: model(items))
+
+
+def all_costs(texts: Column, cfg: Config) -> Column:
+    """Tokens that each text of an array takes in a chunk at most, see ``_costs``."""
+    if cfg.token_counter == "regex":
+        return F.transform(texts, token_count)
+    return _in_lists(texts, cfg, "int", _costs)
+
+
+def all_cut(texts: Column, cfg: Config) -> Column:
+    """``cut_text`` of each text of an array by the counter that ``cfg`` names; null for null."""
+    most = cfg.max_chunk_tokens
+    return _in_lists(texts, cfg, "array<string>", lambda model, items: [None if t is None else cut_text(t, most, model) for t in items])
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running_sums(values: Column, block: int = 512) -> Column:
+    """For each whole number of an array the sum of those before it.
+
+    Sums run within blocks, and again over the blocks' sums, so that a long array isn't copied once for each item.
+    """
+    empty = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("before"))
+
+    def sums(items: Column) -> Column:
+        return F.aggregate(items, empty, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["before"], acc["sum"]).alias("before")))
+
+    def in_blocks(v: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(v), F.lit(block)), lambda i: i < F.size(v))
+        return F.transform(at, lambda i: sums(F.slice(v, i + 1, F.lit(block))))
+
+    def joined(blocks: Column) -> Column:
+        ends = sums(F.transform(blocks, lambda b: b["sum"]))["before"]
+        return F.flatten(F.zip_with(blocks, ends, lambda b, e: F.transform(b["before"], lambda v: v + e)))
 
-    return cut(text)
+    return let(let(values, in_blocks), joined)
 
 
 def word_count(text: Column) -> Column:

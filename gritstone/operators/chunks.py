@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.config import Config
-from gritstone.functions.text import cost_of, sentences, strip_end, tokens_of, word_count
+from gritstone.functions.text import all_costs, all_tokens, sentences, strip_end, tokens_of, word_count
 
 
 def last_sentence(text: Column) -> Column:
@@ -40,43 +40,43 @@ def chunk_starts(tokens: Column, carried: Column, cfg: Config) -> Column:
     return F.aggregate(pairs, empty, step, lambda acc: acc["starts"])
 
 
-def chunks(units: DataFrame, cfg: Config) -> DataFrame:
+def section_chunks(section_units: DataFrame, cfg: Config) -> DataFrame:
     """One row for each chunk: ids, chunk_no (from 0 in its section), text, sizes, overlap and offsets.
 
-    Sections are folded one by one, so no chunk or overlap crosses a section. The grouping by section needs no shuffle
-    of its own where units are already dealt by patent_id.
+    Takes the rows of ``units.section_units``. Each section is folded within its row, so no chunk or overlap crosses a
+    section and nothing is shuffled; a chunk's row carries its own units alone.
     """
-    carried = {"last_sentence": last_sentence(F.col("text")), "last_unit": F.col("text"), "none": F.lit("")}[cfg.overlap_strategy]
-    one = units.withColumn("tail", carried).withColumn("tail_tokens", tokens_of(F.col("tail"), cfg))
-    if cfg.token_counter != "regex":  # what counts is a unit's share of its chunk
-        one = one.withColumn("token_count", cost_of(F.col("text"), cfg))
-    packed = one.groupBy("patent_id", "section_idx", "section").agg(
-        F.sort_array(F.collect_list(F.struct("unit_idx", "text", "token_count", "start_offset", "end_offset", "tail", "tail_tokens"))).alias("units")
-    )
-    starts = chunk_starts(F.transform("units", lambda u: u["token_count"]), F.transform("units", lambda u: u["tail_tokens"]), cfg)
-    rows = packed.withColumn("starts", starts)
-    rows = rows.withColumn(
-        "parts",
-        F.transform(
-            "starts",
-            lambda s, i: F.struct(
-                i.alias("chunk_no"), s["unit"].alias("first"), s["overlap"].alias("overlap"),
-                (F.coalesce(F.get(F.col("starts"), i + 1)["unit"], F.size("units")) - s["unit"]).alias("n"),
-            ),
-        ),
-    )
-    rows = rows.select("patent_id", "section_idx", "section", "units", F.explode("parts").alias("c"))
-    own = F.slice("units", F.col("c.first") + 1, F.col("c.n"))
-    before = F.when(F.col("c.overlap") > 0, F.get(F.col("units"), F.col("c.first") - 1))
-    rows = rows.withColumn("own", own).withColumn("before", before)
-    texts = F.transform("own", lambda u: u["text"])
-    text = F.array_join(F.when(F.col("before").isNotNull(), F.concat(F.array(F.col("before.tail")), texts)).otherwise(texts), " ")
-    rows = rows.withColumn("text", text)
-    start = F.when(F.col("before").isNotNull(), F.col("before.end_offset") - F.length("before.tail")).otherwise(F.col("own")[0]["start_offset"])
+    carried = {"last_sentence": last_sentence, "last_unit": lambda t: t, "none": lambda _: F.lit("")}[cfg.overlap_strategy]
+    ids = ["patent_id", "section_idx", "section"]
+    rows = section_units.select(*ids, "units", F.transform("units", lambda u: carried(u["text"])).alias("tails"))
+    rows = rows.withColumn("tail_tokens", all_tokens(F.col("tails"), cfg))
+    # of a counter that joins text to text, what counts is a unit's share of its chunk
+    own = F.transform("units", lambda u: u["token_count"]) if cfg.token_counter == "regex" else all_costs(F.transform("units", lambda u: u["text"]), cfg)
+    rows = rows.withColumn("costs", own)
+    rows = rows.withColumn("starts", chunk_starts(F.col("costs"), F.col("tail_tokens"), cfg)).drop("costs", "tail_tokens")
+
+    def part(s: Column, i: Column) -> Column:
+        n = F.coalesce(F.get(F.col("starts"), i + 1)["unit"], F.size("units")) - s["unit"]
+        return F.struct(
+            i.alias("chunk_no"), s["unit"].alias("first"), s["overlap"].alias("overlap"), F.slice("units", s["unit"] + 1, n).alias("own"),
+            F.when(s["overlap"] > 0, F.get("tails", s["unit"] - 1)).alias("tail"), F.get("units", s["unit"] - 1)["end_offset"].alias("tail_end"),
+        )
+
+    rows = rows.select(*ids, F.explode(F.transform("starts", part)).alias("c"))
+    texts = F.transform("c.own", lambda u: u["text"])
+    rows = rows.withColumn("text", F.array_join(F.when(F.col("c.tail").isNotNull(), F.concat(F.array("c.tail"), texts)).otherwise(texts), " "))
+    start = F.when(F.col("c.tail").isNotNull(), F.col("c.tail_end") - F.length("c.tail")).otherwise(F.col("c.own")[0]["start_offset"])
     return rows.select(
-        "patent_id", "section_idx", "section", F.col("c.chunk_no").alias("chunk_no"),
+        *ids, F.col("c.chunk_no").alias("chunk_no"),
         F.concat_ws("::", "patent_id", F.col("section_idx").cast("string"), F.col("c.chunk_no").cast("string")).alias("chunk_id"),
-        "text", F.col("c.first").alias("first_unit"), F.col("c.n").alias("unit_count"), F.col("c.overlap").alias("overlap_tokens"),
+        "text", F.col("c.first").alias("first_unit"), F.size("c.own").alias("unit_count"), F.col("c.overlap").alias("overlap_tokens"),
         tokens_of(F.col("text"), cfg).alias("token_count"), word_count(F.col("text")).alias("word_count"),
-        start.cast("int").alias("start_offset"), F.element_at("own", -1)["end_offset"].alias("end_offset"),
+        start.cast("int").alias("start_offset"), F.element_at("c.own", -1)["end_offset"].alias("end_offset"),
     )
+
+
+def chunks(units: DataFrame, cfg: Config) -> DataFrame:
+    """``section_chunks`` of units given as rows, such as those of ``units.units``, which are grouped by section first."""
+    unit = F.struct("kind", "text", "token_count", "start_offset", "end_offset")
+    ordered = F.sort_array(F.collect_list(F.struct("unit_idx", unit.alias("unit"))))
+    return section_chunks(units.groupBy("patent_id", "section_idx", "section").agg(F.transform(ordered, lambda x: x["unit"]).alias("units")), cfg)

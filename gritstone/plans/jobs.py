@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.config import Config
-from gritstone.operators.chunks import chunks
+from gritstone.operators.chunks import section_chunks
 from gritstone.operators.embed import embed
 from gritstone.operators.inverted_file import Index, add_to_index, approximate_search, index_path, load_index
 from gritstone.operators.inverted_file import build_index as index_rows
@@ -14,7 +14,7 @@ from gritstone.operators.prompts import prompts
 from gritstone.operators.report import indexed_summary, section_breakdown
 from gritstone.operators.search import by_patent, rerank, vector_search, with_payload
 from gritstone.operators.sections import sections
-from gritstone.operators.units import units
+from gritstone.operators.units import section_units
 from gritstone.operators.validate import indexed, judged
 from gritstone.sources.files import load_patents
 from gritstone.sources.paths import delete
@@ -29,7 +29,7 @@ PAYLOAD = [
 
 def built_chunks(patents: DataFrame, cfg: Config) -> DataFrame:
     """All chunks of ``patents``, before validation."""
-    return chunks(units(sections(patents.select("patent_id", "text"), cfg), cfg), cfg)
+    return section_chunks(section_units(sections(patents.select("patent_id", "text"), cfg), cfg), cfg)
 
 
 def valid_chunks(patents: DataFrame, cfg: Config) -> DataFrame:

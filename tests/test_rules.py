@@ -1,5 +1,6 @@
 """Rules that the tables cannot trigger, on rows written here."""
 
+import time
 from dataclasses import replace
 
 import pytest
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from gritstone.config import Config
 from gritstone.functions import text as T
 from gritstone.functions.vectors import norm, unit
-from gritstone.operators.chunks import chunk_starts, chunks
+from gritstone.operators.chunks import chunk_starts, chunks, section_chunks
 from gritstone.operators.embed import check_dimension, embed
 from gritstone.operators.prompts import prompts
 from gritstone.operators.search import by_patent, ranked, vector_search
 from gritstone.operators.sections import sections
-from gritstone.operators.units import units
+from gritstone.operators.units import section_units, units
 from gritstone.operators.validate import indexed, judged
 
 CFG = Config()
@@ -84,6 +85,33 @@ def test_fold_equals_a_plain_greedy_packer(spark, pairs):
     assert [tuple(x) for x in got] == greedy(tokens, carried, 256)
 
 
+def test_sections_units_and_chunks_are_cut_in_the_row(spark):
+    """One shuffle of whole texts, no windows, and no expression copied into a filter below the projections."""
+    df = spark.createDataFrame([("p", "ABSTRACT\na")], "patent_id string, text string")
+    for rows in units(sections(df, CFG), CFG), section_chunks(section_units(sections(df, CFG), CFG), CFG):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Window" not in plan and "Sort" not in plan and "Filter (size" not in plan
+        assert max(map(len, plan.split("\n"))) < 6000
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 9), max_size=1500))
+def test_running_sums(spark, values):
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    assert df.select(T.running_sums(F.col("v"))).first()[0] == [sum(values[:i]) for i in range(len(values))]
+
+
+def test_a_very_long_text_is_no_square(spark):
+    """60,000 lines, 3,000 headings, a section of 30,000 sentences: a few seconds, and offsets that point at the source."""
+    text = "\n".join(("HEAD:" if i % 10 == 0 else f"line {i} ends.") for i in range(30_000)) + "\nCLAIMS\n" + "\n\n".join(f"Say {i} now." for i in range(30_000))
+    df = spark.createDataFrame([("p", text)], "patent_id string, text string")
+    began = time.time()
+    rows = section_chunks(section_units(sections(df, CFG), CFG), replace(CFG, overlap_strategy="none")).collect()
+    assert time.time() - began < 60 and len({r.section_idx for r in rows}) == 3001
+    squeezed = lambda t: "".join(t.split())
+    assert all(squeezed(text[r.start_offset : r.end_offset]) == squeezed(r.text) for r in rows)
+
+
 def made_units(spark, sizes):
     rows = [("p", 1, "S", i, "paragraph", " ".join([f"u{i}"] * n), n, 1000 * i, 1000 * i + 10) for i, n in enumerate(sizes)]
     return spark.createDataFrame(rows, "patent_id string, section_idx int, section string, unit_idx int, kind string, text string, token_count int, start_offset int, end_offset int")
