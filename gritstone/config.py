@@ -22,6 +22,7 @@ class Config:
     low_info_threshold: float = 0.30
     reject_heading_only: bool = True
     min_novelty: float = 0.10
+    novelty_against: str = "previous"  # the chunk before, or section: all chunks before it in its section
     keep_only_chunk: bool = False
     # vectors and search
     embedding_model: str = "hash"

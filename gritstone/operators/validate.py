@@ -14,16 +14,40 @@ def is_heading_only(norm: Column, cfg: Config) -> Column:
     return is_heading(norm, cfg)
 
 
+def _new_in_section(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``new``, how many of their ``tokens`` no chunk before them in the section has.
+
+    A word is new in the first chunk that has it. Words are told apart one by one, so no row holds a section's words; all
+    else of a chunk travels with its first word, and the grouping by patent serves both steps.
+    """
+    names = rows.columns
+    words = rows.select("patent_id", "section_idx", "chunk_no", F.struct(*names).alias("row"), F.posexplode_outer("tokens").alias("at", "word"))
+    words = words.withColumn("row", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")))
+    first = F.min("chunk_no").over(Window.partitionBy("patent_id", "section_idx", "word"))
+    fresh = (F.col("word").isNotNull() & (first == F.col("chunk_no"))).cast("int")
+    back = words.withColumn("fresh", fresh).groupBy("patent_id", "section_idx", "chunk_no").agg(F.first("row", ignorenulls=True).alias("row"), F.sum("fresh").alias("new"))
+    return back.select("row.*", "new")
+
+
 def judged(chunks: DataFrame, cfg: Config) -> DataFrame:
-    """``chunks`` with text normalised, alpha_ratio, novelty (null for a section's first) and reject_reason (null: valid)."""
+    """``chunks`` with text normalised, alpha_ratio, novelty (null for a section's first) and reject_reason (null: valid).
+
+    Novelty is the share of a chunk's distinct words that the chunk before it in its section does not have, or none of
+    those before it (``novelty_against``). Chunks of a section are told apart by chunk_no.
+    """
     in_section = Window.partitionBy("patent_id", "section_idx").orderBy("chunk_no")
-    rows = chunks.withColumn("text", collapse_whitespace(F.col("text")))
-    rows = rows.withColumn("tokens", word_tokens(F.col("text"))).withColumn("prev", F.lag("tokens").over(in_section))
-    novelty = F.when(F.col("prev").isNotNull(), F.size(F.array_except("tokens", "prev")) / F.nullif(F.size("tokens"), F.lit(0)))
+    rows = chunks.withColumn("text", collapse_whitespace(F.col("text"))).withColumn("tokens", word_tokens(F.col("text")))
+    if cfg.novelty_against == "section":
+        rows = _new_in_section(rows.repartition("patent_id")).withColumn("prev", F.lag("chunk_no").over(in_section))
+    elif cfg.novelty_against == "previous":
+        rows = rows.withColumn("prev", F.lag("tokens").over(in_section)).withColumn("new", F.size(F.array_except("tokens", "prev")))
+    else:
+        raise ValueError(f"novelty_against is previous or section, not {cfg.novelty_against!r}")
+    novelty = F.when(F.col("prev").isNotNull(), F.col("new") / F.nullif(F.size("tokens"), F.lit(0)))
     same = Window.partitionBy("patent_id", F.md5(F.col("text").cast("binary"))).orderBy("section_idx", "chunk_no")
     rows = (
         rows.withColumn("token_count", tokens_of(F.col("text"), cfg)).withColumn("word_count", word_count(F.col("text")))
-        .withColumn("alpha_ratio", alpha_ratio(F.col("text"))).withColumn("novelty", novelty).drop("tokens", "prev")
+        .withColumn("alpha_ratio", alpha_ratio(F.col("text"))).withColumn("novelty", novelty).drop("tokens", "prev", "new")
         .withColumn("copy_no", F.row_number().over(same))
     )
     short = F.col("token_count") < cfg.min_chunk_tokens

@@ -197,6 +197,14 @@ ORACLES: dict[str, str] = {
     "heading_only": _with(PATENTS, rf"SELECT patent_id, line_no, {_heading('norm')} AS heading_only FROM (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS norm FROM lines) WHERE norm <> ''"),
     "alpha_ratio": r"SELECT doc_id, round(r, 6) AS alpha_ratio, round(r, 6) < 0.30 AS rejected FROM (SELECT doc_id, coalesce(length(regexp_replace(text, '[^\p{L}]', '', 'g')) / CAST(nullif(length(text), 0) AS DOUBLE), 0) AS r FROM documents)",
     "overlap_novelty": _with(JUDGED, "SELECT chunk_id, round(novelty, 6) AS novelty, coalesce(novelty < 0.10, false) AS rejected FROM judged"),
+    "novelty_in_section": _with(
+        JUDGED,
+        "SELECT chunk_id, round(novelty, 6) AS novelty, coalesce(novelty < 0.10, false) AS rejected FROM (SELECT chunk_id,"
+        " CASE WHEN chunk_no > 0 THEN coalesce(fresh, 0) / CAST(nullif(len(toks), 0) AS DOUBLE) END AS novelty FROM jt LEFT JOIN"
+        " (SELECT patent_id, section_idx, chunk_no, count(*) AS fresh FROM (SELECT patent_id, section_idx, min(chunk_no) AS chunk_no FROM"
+        " (SELECT patent_id, section_idx, chunk_no, unnest(toks) AS tok FROM jt) GROUP BY patent_id, section_idx, tok) GROUP BY ALL)"
+        " USING (patent_id, section_idx, chunk_no))",
+    ),
     "min_tokens": _with(JUDGED, "SELECT chunk_id, token_count FROM judged WHERE token_count < 20"),
     "duplicate_chunks": _with(JUDGED, "SELECT chunk_id, patent_id FROM judged WHERE reject_reason = 'duplicate'"),
     "reject_reasons": _with(JUDGED, "SELECT chunk_id, reject_reason FROM judged"),
@@ -222,6 +230,13 @@ ORACLES: dict[str, str] = {
     ),
     "indexed_summary": _with(JUDGED, "SELECT patent_id, count(*) AS chunks, count(DISTINCT section) AS sections, CAST(sum(token_count) AS BIGINT) AS tokens, any_value(lang) AS lang, any_value(source) AS source FROM valid JOIN patents USING (patent_id) GROUP BY patent_id"),
     "section_breakdown": _with(JUDGED, "SELECT patent_id, section, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens, round(avg(token_count), 6) AS avg_tokens FROM valid GROUP BY ALL"),
+    "collection_report": _with(
+        JUDGED,
+        "SELECT patent_id, section, CASE grouping(patent_id, section) WHEN 0 THEN 'section' WHEN 1 THEN 'patent' ELSE 'collection' END AS level,"
+        " count(*) AS chunks, count(DISTINCT (patent_id, section)) AS sections, CAST(sum(token_count) AS BIGINT) AS tokens,"
+        " min(token_count) AS min_tokens, max(token_count) AS max_tokens, round(avg(token_count), 6) AS avg_tokens"
+        " FROM valid GROUP BY ROLLUP (patent_id, section)",
+    ),
     "upsert_merge": _with(
         CHUNKS + _chunks("none", "n_"),
         "SELECT chunk_id, patent_id, n_chunks.token_count, 2 AS version FROM n_chunks JOIN patents USING (patent_id) WHERE lang = 'en' UNION ALL"

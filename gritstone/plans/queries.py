@@ -164,6 +164,13 @@ def overlap_novelty(spark, d):
     return _judged(spark, d).select("chunk_id", F.round("novelty", 6).alias("novelty"), F.coalesce(F.col("novelty") < CFG.min_novelty, F.lit(False)).alias("rejected"))
 
 
+@query
+def novelty_in_section(spark, d):
+    """Novelty against all chunks before in the section."""
+    rows = V.judged(_chunks(spark, d), replace(CFG, novelty_against="section"))
+    return rows.select("chunk_id", F.round("novelty", 6).alias("novelty"), F.coalesce(F.col("novelty") < CFG.min_novelty, F.lit(False)).alias("rejected"))
+
+
 @query
 def min_tokens(spark, d):
     return _judged(spark, d).where(F.col("token_count") < CFG.min_chunk_tokens).select("chunk_id", "token_count")
@@ -350,6 +357,11 @@ def section_breakdown(spark, d):
     return R.section_breakdown(jobs.valid_chunks(patents(spark, d), CFG))
 
 
+@query
+def collection_report(spark, d):
+    return R.collection_report(jobs.valid_chunks(patents(spark, d), CFG))
+
+
 @query
 def upsert_merge(spark, d):
     """Chunks of all documents, with those of every document in English replaced by a second build without overlap."""

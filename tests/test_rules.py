@@ -14,6 +14,7 @@ from gritstone.functions.vectors import norm, unit
 from gritstone.operators.chunks import chunk_starts, chunks, section_chunks
 from gritstone.operators.embed import check_dimension, embed
 from gritstone.operators.prompts import prompts
+from gritstone.operators.report import collection_report, section_breakdown
 from gritstone.operators.search import by_patent, ranked, vector_search
 from gritstone.operators.sections import sections
 from gritstone.operators.units import section_units, units
@@ -145,6 +146,36 @@ def test_reasons(spark):
     assert off[1].reject_reason == "too_short"
 
 
+def test_a_loop_of_period_two_adds_nothing_to_its_section(spark):
+    a, b = (" ".join(f"{x}word{i}" for i in range(30)) for x in "ab")
+    texts = [a, b, a + " aword1", b + " bword1", a + " " + " ".join(f"cword{i}" for i in range(10)), "", "12 -"]
+    near = judged(made_chunks(spark, texts), CFG).orderBy("chunk_no").collect()
+    assert [r.reject_reason == "degenerate_overlap" for r in near[:5]] == [False] * 5
+    rows = judged(made_chunks(spark, texts).repartition(3), replace(CFG, novelty_against="section")).orderBy("chunk_no").collect()
+    assert [r.reject_reason for r in rows[:5]] == [None, None, "degenerate_overlap", "degenerate_overlap", None]
+    assert [r.novelty for r in rows] == [None, 1.0, 0.0, 0.0, 0.25, None, 1.0] and rows[0].asDict().keys() == near[0].asDict().keys()
+    seen: set = set()
+    for t, r in zip(texts, rows, strict=True):
+        words = set(t.split()) - {"-"}
+        assert r.text == t and (r.chunk_no == 0 or not words or r.novelty == len(words - seen) / len(words))
+        seen |= words
+    with pytest.raises(ValueError):
+        judged(made_chunks(spark, texts), replace(CFG, novelty_against="all"))
+    assert judged(made_chunks(spark, texts).where("false"), replace(CFG, novelty_against="section")).count() == 0
+
+
+def test_collection_report_equals_summary_and_breakdown(spark):
+    rows = [("p", "A", 5), ("p", "A", 7), ("p", None, 2), ("q", "A", 1), (None, "B", 4), ("p", "C", None)]
+    df = spark.createDataFrame(rows, "patent_id string, section string, token_count int")
+    found = collection_report(df)
+    plain = lambda d: sorted(map(repr, d.collect()))
+    assert plain(found.where("level = 'section'").drop("level", "sections")) == plain(section_breakdown(df))
+    totals = {r.patent_id: (r.chunks, r.sections, r.tokens) for r in found.where("level = 'patent'").collect()}
+    assert totals == {"p": (4, 3, 14), "q": (1, 1, 1), None: (1, 1, 4)}
+    assert [(r.chunks, r.sections, r.tokens, r.avg_tokens) for r in found.where("level = 'collection'").collect()] == [(6, 5, 19, 3.8)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
 def test_three_letters_in_ten_characters_are_enough(spark):
     assert one(spark, "abc1234567", T.alpha_ratio) == 0.3
     assert one(spark, "", T.alpha_ratio) == 0.0
