@@ -258,6 +258,42 @@ def test_hot_groups_fill_as_few_shards_as_hold_them(spark, hot):
     assert all(len(p) <= -(-hot // 30) + 1 for t, p in places.items() if t.startswith("hot"))
 
 
+def planted_graph(r, groups=3, size=24):
+    """Sparse edges, nearly all within a planted group of rows whose ids are mixed."""
+    ids = list(range(groups * size))
+    r.shuffle(ids)
+    of = {x: i // size for i, x in enumerate(ids)}
+    edges = set()
+    for g in range(groups):
+        own = ids[g * size : (g + 1) * size]
+        edges |= {(own[i], own[(i + d) % size]) for i in range(size) for d in (1, 2)}
+    edges |= {tuple(r.sample(ids, 2)) for _ in range(6)}
+    return of, sorted(edges)
+
+
+def cut_links(shard, edges):
+    return sum(shard[a] != shard[b] for a, b in {tuple(sorted(e)) for e in edges})
+
+
+def test_edges_pull_rows_together_and_counts_stay_even(spark, monkeypatch):
+    r = random.Random(8)
+    of, edges = planted_graph(r)
+    n = len(of)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(n)] + [(n + i, "same") for i in range(6)], "doc_id long, text string")
+    messy = [*edges, *[(b, a) for a, b in edges[:9]], (3, 3), (None, 4), (5, None), (10**6, 2), (n, edges[0][0])]
+    table = spark.createDataFrame([(a, b, 1) for a, b in messy], "a long, b long, shard int")
+    shards = lambda rows: {x.doc_id: x.shard for x in rows.collect()}
+    before, after = shards(H.shard_documents(docs, 3)), shards(H.shard_documents(docs, 3, table))
+    assert set(Counter(after.values()).values()) == {(n + 6) // 3}
+    every = [*edges, (n, edges[0][0])]
+    assert cut_links(after, every) < 0.6 * cut_links(before, every)
+    assert len({after[n + i] for i in range(6)}) == len({before[n + i] for i in range(6)})  # groups of equal texts have settled
+    monkeypatch.setattr(H, "HUB", 2)
+    assert shards(H.shard_documents(docs, 3, table)) == after
+    none = spark.createDataFrame([], "a long, b long")
+    assert shards(H.shard_documents(docs, 3, none)) == before
+
+
 def test_settling_moves_keeps_counts():
     r = random.Random(4)
     for _ in range(50):
