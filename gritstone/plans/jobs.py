@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from gritstone.operators.validate import indexed, judged
 from gritstone.sources.files import load_patents
 from gritstone.sources.paths import delete
 from gritstone.sources.scratch import Scratch
+from gritstone.sources.sink import Store, write_points
 from gritstone.sources.table import Table, bucket, collection, latest, read_collection
 
 PAYLOAD = [
@@ -92,6 +95,11 @@ def ingest(spark: SparkSession, folder: str, cfg: Config) -> None:
     store(spark, payload(load_patents(spark, folder), cfg), cfg)
 
 
+def export(spark: SparkSession, connect: Callable[[], Store], cfg: Config) -> str:
+    """All points of the collection, with vectors, into a store outside of Spark; all of them are published, or none."""
+    return write_points(read_collection(spark, cfg.table_path), connect, cfg)
+
+
 def _points(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "patent_id", "vector", F.col("bucket").alias("home"))
 
