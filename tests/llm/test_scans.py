@@ -219,6 +219,37 @@ def test_every_rule_is_found_alone_in_any_case_and_over_lines(spark):
     assert {x for _, x in texts} == {r[0] for r in rules}
 
 
+def brute_licenses(text):
+    """Labels and score of all rules on a text: every match of every rule, then every pair of matches compared."""
+    words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(text))) + " "
+    found = []
+    for rank, (label, _, score, regex) in enumerate(signatures()):
+        for m in re.finditer(rf"(?<= )(?:{regex})(?= )", words):
+            start = words[: m.start()].count(" ") - 1
+            found.append((start, start + m.group().count(" ") + 1, rank, label, score))
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and (a[:2] != b[:2] or b[2] < a[2])
+    left = [a for a in found if not any(inside(a, b) for b in found)]
+    base = {v for p, v in L.BASE if f" {p} " in words}
+    return sorted({a[3] for a in left} | base), max((a[4] for a in left), default=0.0), len(found) - len(left)
+
+
+def test_texts_of_many_rules_equal_all_rules_and_suppression_in_plain_python(spark):
+    r = random.Random(12)
+    phrases = [shortest(regex) for *_, regex in signatures()]
+    pieces = sorted({w for p in phrases for w in p.split()}) + ["the", "foo", "Änderung", "2", "0"]
+    texts = []
+    for _ in range(150):
+        parts = [r.choice(phrases) if r.random() < 0.5 else " ".join(r.choices(pieces, k=r.randint(1, 4))) for _ in range(r.randint(1, 12))]
+        # cut phrases and words at the seams make rules overlap, contain and touch each other
+        words = [w for w in " ".join(parts).split() if r.random() < 0.95]
+        texts.append("".join(w + r.choice([" ", " ", " ", "\n", ", ", " - "]) for w in words).title() if r.random() < 0.3 else " ".join(words))
+    texts += [" ".join(phrases), " ".join(reversed(phrases)), None, ""]
+    want = [brute_licenses(t) for t in texts]
+    rows = L.scan_licenses(table(spark, texts)).select("doc_id", "labels", "license_score").orderBy("doc_id").collect()
+    assert sum(n for *_, n in want) > 50 and sum(len(x) > 2 for x, *_ in want) > 50
+    assert [(list(x.labels), x.license_score) for x in rows] == [(labels, score) for labels, score, _ in want]
+
+
 ITEM = " ".join(f"item{i}" for i in range(20))
 ITEMS = [(1, ITEM), (2, "short one"), (3, None), (4, "!!!"), (None, "no name at all"), (10, ITEM.upper()), (5, "Ünï cödé")]
 TEXTS = [
