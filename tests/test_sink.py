@@ -5,12 +5,15 @@ import os
 import subprocess
 import sys
 from collections import Counter
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
 
 from gritstone.config import Config
+from gritstone.plans.jobs import export
 from gritstone.sources.sink import write_points
+from gritstone.sources.table import upsert
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -63,6 +66,18 @@ def test_batches_reach_the_store_once_each_and_nulls_pass(spark, tmp_path):
     assert all(p["text"] == (None if p["id"] % 7 == 0 else f"t{p['id']}") and p["vector"] == [1.5, p["id"]] and p["metadata"] == {"lang": "en"} for p in points)
 
 
+def test_a_collection_is_exported_as_readers_see_it(spark, tmp_path):
+    cfg, store = replace(Config(), table_path=str(tmp_path / "table"), buckets=3), tmp_path / "store"
+    store.mkdir()
+    make = lambda rows: spark.createDataFrame(rows, "id long, chunk_id string, patent_id string, vector array<float>")
+    upsert(spark, make([(i, f"p{i % 5}::{i}", f"p{i % 5}", [0.5, float(i)]) for i in range(250)]), cfg.table_path, cfg)
+    upsert(spark, make([(-1, "p1::1", "p1", None)]), cfg.table_path, cfg)
+    export(spark, connect_to(str(store)), cfg)
+    points = [p for b in Folder(store).batches() for p in b]
+    want = {f"p{i % 5}::{i}": [0.5, i] for i in range(250)} | {"p1::1": None}
+    assert len(points) == 250 and {p["chunk_id"]: p["vector"] for p in points} == want
+
+
 def test_an_empty_table_publishes_nothing(spark, tmp_path):
     write_points(spark.createDataFrame([], "id long, text string"), connect_to(str(tmp_path)), Config())
     assert Folder(tmp_path).batches() == [] and not list(tmp_path.glob("staged-*"))
