@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 PLACES = 6  # of a score
+SLACK = 100_000  # rows that are held besides, so that few queries are not cut back at each block
 
 
 class TopK:
     """The best ``k`` rows of each of ``n`` queries, of equal scores those with the smallest ids.
 
     Rows come in blocks. Of a block only scores count that reach a query's k-th best so far; what is held is cut back to
-    ``k`` a query when it has grown to some times that, so memory depends on n, k and the block alone. A score that is
+    ``k`` a query when it has grown to twice that and a block's share, so memory depends on n, k and the block alone. A score that is
     not a number counts for nothing.
     """
 
@@ -31,7 +32,7 @@ class TopK:
         if len(q):
             self.held.append((queries[q], scores[q, r], ids[r], parts[r]))
             self.size += len(q)
-            if self.size > 4 * self.n * self.k + scores.size:
+            if self.size > min(2 * self.n * self.k + SLACK, 4 * self.n * self.k + scores.size):
                 self.cut()
 
     def cut(self) -> tuple[np.ndarray, ...]:
