@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gritstone.config import Config
 from gritstone.functions.text import alpha_ratio, collapse_whitespace, is_heading, tokens_of, word_count, word_tokens
+from gritstone.sources.scratch import let_workers_import
 
 
 def is_heading_only(norm: Column, cfg: Config) -> Column:
@@ -15,18 +19,35 @@ def is_heading_only(norm: Column, cfg: Config) -> Column:
 
 
 def _new_in_section(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``new``, how many of their ``tokens`` no chunk before them in the section has.
+    """``rows`` with ``prev``, the chunk before in the section, ``words``, the number of their ``tokens`` (left out), and
+    ``new``, how many of these no chunk before has.
 
-    A word is new in the first chunk that has it. Words are told apart one by one, so no row holds a section's words; all
-    else of a chunk travels with its first word, and the grouping by patent serves both steps.
+    A task reads its chunks in order and holds the words of one section at a time, so no word becomes a row of its own.
     """
-    names = rows.columns
-    words = rows.select("patent_id", "section_idx", "chunk_no", F.struct(*names).alias("row"), F.posexplode_outer("tokens").alias("at", "word"))
-    words = words.withColumn("row", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")))
-    first = F.min("chunk_no").over(Window.partitionBy("patent_id", "section_idx", "word"))
-    fresh = (F.col("word").isNotNull() & (first == F.col("chunk_no"))).cast("int")
-    back = words.withColumn("fresh", fresh).groupBy("patent_id", "section_idx", "chunk_no").agg(F.first("row", ignorenulls=True).alias("row"), F.sum("fresh").alias("new"))
-    return back.select("row.*", "new")
+    let_workers_import(rows.sparkSession)
+    kept = [f for f in rows.schema.fields if f.name != "tokens"]
+    names, key = [f.name for f in kept], ["patent_id", "section_idx", "chunk_no"]
+    at = [names.index(k) for k in key]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        section, before, seen = None, None, set()
+        for batch in batches:
+            prev, new, words = [], [], []
+            for patent, idx, no, own in zip(*(batch.column(i).to_pylist() for i in [*at, len(names)]), strict=True):
+                if section != (patent, idx):
+                    section, before, seen = (patent, idx), None, set()
+                known = len(seen)
+                seen.update(own or ())
+                prev.append(before)
+                new.append(len(seen) - known)
+                words.append(len(own) if own is not None else None)
+                before = no
+            more = [pa.array(c, pa.int32()) for c in (prev, new, words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], [*names, "prev", "new", "words"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    ordered = rows.repartition("patent_id").sortWithinPartitions(*key).select(*[F.col(f"`{c}`") for c in names], "tokens")
+    return ordered.mapInArrow(count, f"{fields}, prev int, new int, words int")
 
 
 def judged(chunks: DataFrame, cfg: Config) -> DataFrame:
@@ -38,16 +59,16 @@ def judged(chunks: DataFrame, cfg: Config) -> DataFrame:
     in_section = Window.partitionBy("patent_id", "section_idx").orderBy("chunk_no")
     rows = chunks.withColumn("text", collapse_whitespace(F.col("text"))).withColumn("tokens", word_tokens(F.col("text")))
     if cfg.novelty_against == "section":
-        rows = _new_in_section(rows.repartition("patent_id")).withColumn("prev", F.lag("chunk_no").over(in_section))
+        rows = _new_in_section(rows)
     elif cfg.novelty_against == "previous":
-        rows = rows.withColumn("prev", F.lag("tokens").over(in_section)).withColumn("new", F.size(F.array_except("tokens", "prev")))
+        rows = rows.withColumn("prev", F.lag("tokens").over(in_section)).withColumn("new", F.size(F.array_except("tokens", "prev"))).withColumn("words", F.size("tokens")).drop("tokens")
     else:
         raise ValueError(f"novelty_against is previous or section, not {cfg.novelty_against!r}")
-    novelty = F.when(F.col("prev").isNotNull(), F.col("new") / F.nullif(F.size("tokens"), F.lit(0)))
+    novelty = F.when(F.col("prev").isNotNull(), F.col("new") / F.nullif("words", F.lit(0)))
     same = Window.partitionBy("patent_id", F.md5(F.col("text").cast("binary"))).orderBy("section_idx", "chunk_no")
     rows = (
         rows.withColumn("token_count", tokens_of(F.col("text"), cfg)).withColumn("word_count", word_count(F.col("text")))
-        .withColumn("alpha_ratio", alpha_ratio(F.col("text"))).withColumn("novelty", novelty).drop("tokens", "prev", "new")
+        .withColumn("alpha_ratio", alpha_ratio(F.col("text"))).withColumn("novelty", novelty).drop("prev", "new", "words")
         .withColumn("copy_no", F.row_number().over(same))
     )
     short = F.col("token_count") < cfg.min_chunk_tokens

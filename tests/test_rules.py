@@ -260,3 +260,11 @@ def test_patents_of_a_query_are_ranked(spark):
     rows = [(1, "p", "p::0", "S", "t", 0.5, 3), (1, "q", "q::0", "S", "t", 0.9, 1), (1, "o", "o::0", "S", "t", 0.5, 2), (2, "p", "p::0", "S", "t", 0.1, 1)]
     df = spark.createDataFrame(rows, "query_id int, patent_id string, chunk_id string, section string, text string, rerank_score double, rerank_rank int")
     assert {(r.query_id, r.patent_id): r.patent_rank for r in by_patent(df).collect()} == {(1, "q"): 1, (1, "o"): 2, (1, "p"): 3, (2, "p"): 1}
+
+
+def test_novelty_in_a_section_makes_no_row_of_a_word(spark, capsys):
+    texts = ["a b c", "b c d", None, "", "a d e", "e e f"]
+    rows = judged(made_chunks(spark, texts), replace(CFG, novelty_against="section"))
+    assert [r.novelty for r in rows.orderBy("chunk_no").collect()] == [None, 1 / 3, None, None, 1 / 3, 0.5]
+    rows.explain()
+    assert "explode" not in capsys.readouterr().out
