@@ -30,8 +30,9 @@ def hash_embedder(dim: int) -> Embedder:
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
-            for w in _WORD.findall(t.lower()):
-                out[i, bucket_of(w, dim)] += 1
+            own = [bucket_of(w, dim) for w in _WORD.findall(t.lower())]
+            if own:
+                out[i] = np.bincount(own, minlength=dim)
         n = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(n == 0, 1, n)
 

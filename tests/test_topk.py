@@ -19,3 +19,15 @@ def test_little_is_held_and_nothing_is_lost():
     for i in range(n):
         want = np.lexsort((np.arange(scores.shape[1]), -scores[i]))[:k]
         assert ids[q == i].tolist() == want.tolist() and s[q == i].tolist() == scores[i][want].tolist()
+
+
+def test_embedder_counts_words_by_bucket():
+    from gritstone.functions.models import bucket_of, hash_embedder
+
+    found = hash_embedder(16)(["b a b", "", "...", "c"])
+    want = np.zeros((4, 16))
+    for i, words in enumerate(["bab", "", "", "c"]):
+        for w in words:
+            want[i, bucket_of(w, 16)] += 1
+    n = np.sqrt((want * want).sum(1, keepdims=True))
+    assert np.array_equal(found, want / np.where(n == 0, 1, n))
