@@ -2,10 +2,11 @@
 
 A candidate is a run of key-like characters with letters and digits, or a value assigned to a name. The network, in numpy,
 reads the characters before, in and after it (of a long one in overlapping windows, of which the best counts). It is
-trained on labelled findings: what the base patterns find in a bounded sample, candidates of the sample that consist of
-words and short numbers, and secrets and look-alikes planted in the sample's own contexts. Any other candidate may be a
-secret that the base does not know, so it has no label and trains nothing. Scores are calibrated on findings kept apart,
-and each kind of candidate gets the highest threshold that keeps the recall asked for in every family of planted secrets.
+trained on labelled findings of all documents: what the base patterns find, candidates that consist of words and short
+numbers, and a secret or a look-alike planted in each document's own context. Any other candidate may be a secret that the
+base does not know, so it has no label and trains nothing. Tasks train on shards of the findings and the driver averages
+their weights after each round. Scores are calibrated on findings kept apart, counted by score, and each kind of candidate
+gets the highest threshold that keeps the recall asked for in every family of planted secrets.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import random
 import re
 import string
 import uuid
+import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -25,17 +27,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.llm.store import let_workers_import
+from gritstone.llm.store import Scratch, let_workers_import
 
 # Fixed base patterns.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that are long enough
 
-SAMPLE_DOCS = 5000  # documents that train, at most: those of the smallest hash of doc_id
-SAMPLE_CANDIDATES = 6000  # candidates from them, at most, likewise
-PLANTED = 2000  # planted secrets, and as many planted look-alikes
-APART = 5000  # planted secrets, and look-alikes, that calibrate
+PLANTED = 2000  # planted secrets, and as many planted look-alikes, where a list of findings trains
+APART = 5000  # planted secrets, and look-alikes, that calibrate there
+LEAST_PLANTED = 20_000  # planted in a corpus: one in each document, more of them where documents are fewer
+FOUND_APART, PLANTED_APART = 3, 6  # tenths of the findings, and of what is planted, that calibrate
+SHARD_ROWS = 8192  # findings that a task trains on in a round
+STEPS, BATCH, MOST_ROUNDS = 500, 128, 16  # of a shard in all rounds; findings of a step; rounds at most
+SCORE_BINS = 50  # of one unit of a score (logit), in which held-apart findings are counted
 RECALL = 0.98
 BEFORE, INSIDE, TAIL, AFTER = 24, 44, 16, 12
 WIDTH = BEFORE + INSIDE + AFTER
@@ -174,6 +179,7 @@ class CharCnn:
             "out": r.normal(0, 0.2, 2 * filters),
             "shift": np.zeros(1),
         }
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         self.a, self.b, self.thresholds = 1.0, 0.0, [0.5, 0.5]
 
     def _forward(self, codes: np.ndarray):
@@ -190,7 +196,22 @@ class CharCnn:
         return np.concatenate([self._forward(codes[i : i + 512])[3] for i in range(0, len(codes), 512)]) if len(codes) else np.zeros(0)
 
     def probability(self, codes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * self.logits(codes) + self.b, -30, 30)))
+        return self._calibrated(self.logits(codes))
+
+    def _calibrated(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.a * z + self.b, -30, 30)))
+
+    def state(self) -> np.ndarray:
+        """Weights and moments in one row."""
+        return np.concatenate([x.ravel() for k, w in self.w.items() for x in (w, *self.moments[k])])
+
+    def put(self, state: np.ndarray) -> None:
+        at = 0
+        for k, w in self.w.items():
+            size = w.size
+            self.w[k], *own = (state[at + i * size : at + (i + 1) * size].reshape(w.shape).copy() for i in range(3))
+            self.moments[k] = tuple(own)
+            at += 3 * size
 
     def _gradients(self, codes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         cols, at, top, logit = self._forward(codes)
@@ -210,45 +231,53 @@ class CharCnn:
         g["embed"][0] = 0
         return g
 
-    def train(self, codes: np.ndarray, y: np.ndarray, rounds: int = 16, batch: int = 128, rate: float = 0.01, seed: int = 2) -> None:
+    def train(self, codes: np.ndarray, y: np.ndarray, rounds: int = MOST_ROUNDS, batch: int = BATCH, rate: float = 0.01, seed: int | list[int] = 2, t: int = 0) -> None:
+        """Adam on shuffled batches. Its moments stay with the weights, so that training goes on after ``t`` steps."""
         r = np.random.default_rng(seed)
-        m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
-        t = 0
         for _ in range(rounds):
             for part in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
                 t += 1
                 for k, g in self._gradients(codes[part], y[part]).items():
-                    a, b = m[k]
+                    a, b = self.moments[k]
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     self.w[k] -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
 
     def calibrate(self, codes: np.ndarray, y: np.ndarray, kind: np.ndarray, family: np.ndarray, recall: float = RECALL) -> None:
         """Platt scaling, then for each kind the highest threshold that finds ``recall`` of its secrets in every family."""
-        z = self.logits(codes)
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        self.calibrate_scores(self.logits(codes), y, kind, family, np.ones(len(y)), recall)
+
+    def calibrate_scores(self, z: np.ndarray, y: np.ndarray, kind: np.ndarray, family: np.ndarray, n: np.ndarray, recall: float = RECALL) -> None:
+        """``calibrate`` by scores before calibration, each of which stands for ``n`` findings."""
+        yes, no = (n * y).sum(), (n * (1 - y)).sum()
+        target = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
         a, b = 1.0, 0.0
-        for _ in range(50):  # Newton's method on two parameters
+        loss = lambda a, b: (n * (np.logaddexp(0, a * z + b) - target * (a * z + b))).sum()
+        for _ in range(50):  # Newton's method on two parameters, steps halved until they gain
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            w = np.maximum(p * (1 - p), 1e-6)
-            grad = np.array([((p - target) * z).sum(), (p - target).sum()])
+            w = n * np.maximum(p * (1 - p), 1e-6)
+            grad = np.array([(n * (p - target) * z).sum(), (n * (p - target)).sum()])
             hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             step = np.linalg.solve(hess, grad)
+            while loss(a - step[0], b - step[1]) > loss(a, b) and np.abs(step).max() > 1e-9:
+                step = step / 2
             a, b = a - step[0], b - step[1]
         self.a, self.b = float(a), float(b)
-        p, self.thresholds = self.probability(codes), [MOST_THRESHOLD] * 2
+        p, self.thresholds = self._calibrated(z), [MOST_THRESHOLD] * 2
         for k in (0, 1):
             own = (y > 0) & (kind == k)
             for f in np.unique(family[own]):
-                found = np.sort(p[own & (family == f)])
-                if len(found) >= LEAST_FAMILY:
-                    self.thresholds[k] = min(self.thresholds[k], float(found[int(np.floor((1 - recall) * len(found)))]))
+                found = np.flatnonzero(own & (family == f))
+                found = found[np.argsort(p[found], kind="stable")]
+                up_to = np.cumsum(n[found])
+                if up_to[-1] >= LEAST_FAMILY:
+                    place = np.searchsorted(up_to, np.floor((1 - recall) * up_to[-1]), "right")
+                    self.thresholds[k] = min(self.thresholds[k], float(p[found[place]]))
 
 
-def planted(contexts: list[tuple[str, str]], n: int, seed: int = 3) -> list[tuple[tuple[str, str, str], int, int, int]]:
-    """(window, kind, label, family) of n secrets and n look-alikes written into contexts of the corpus; those assigned to a
-    name are a family of their own."""
-    r = random.Random(seed)
+def planter(r: random.Random) -> Callable[[tuple[str, str], int], tuple[tuple[str, str, str], int, int, int]]:
+    """A function of a context and a label that writes a secret (1) or a look-alike (0) there, and gives (window, kind,
+    label, family); those assigned to a name are a family of their own."""
     some = lambda alphabet, a, b: "".join(r.choices(alphabet, k=r.randint(a, b)))
     alnum, low, digits, hexes = string.ascii_letters + string.digits, string.ascii_lowercase, string.digits, "0123456789abcdef"
     word = lambda: some(low, 3, 9)
@@ -265,10 +294,9 @@ def planted(contexts: list[tuple[str, str]], n: int, seed: int = 3) -> list[tupl
         lambda: f"{word()}_{word()}_{some(digits, 1, 2)}", lambda: f"SKU-{some(digits, 5, 6)}-{some(string.ascii_uppercase, 1, 2)}", lambda: f"{word()}{word()}{some(digits, 1, 2)}",
         lambda: "".join(word().capitalize() for _ in range(r.randint(4, 6))),
     ]
-    out = []
-    for i in range(2 * n):
-        before, after = r.choice(contexts) if contexts else ("", "")
-        label, assigned = int(i < n), r.random() < 0.5
+
+    def plant(context: tuple[str, str], label: int) -> tuple[tuple[str, str, str], int, int, int]:
+        (before, after), assigned = context, r.random() < 0.5
         family = r.randrange(len(secrets if label else benign))
         value = (secrets if label else benign)[family]()
         if label and assigned and r.random() < 0.3:
@@ -281,15 +309,16 @@ def planted(contexts: list[tuple[str, str]], n: int, seed: int = 3) -> list[tupl
             after = quote + after
         else:
             before += r.choice([" ", "\n", " key ", " Bearer "] if label else [" ", "\n", " see ", " at "])
-        kind = int(not candidates(value))
-        out.append(((before[-BEFORE:], value, after[:AFTER]), kind, label, 2 * family + assigned))
-    return out
+        return (before[-BEFORE:], value, after[:AFTER]), int(not candidates(value)), label, 2 * family + assigned
+
+    return plant
 
 
-def sample_of(docs: DataFrame, n: int) -> DataFrame:
-    """The texts of the ``n`` documents whose id has the smallest hash."""
-    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).distinct()
-    return docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text")
+def planted(contexts: list[tuple[str, str]], n: int, seed: int = 3) -> list[tuple[tuple[str, str, str], int, int, int]]:
+    """(window, kind, label, family) of n secrets and n look-alikes written into contexts of the corpus."""
+    r = random.Random(seed)
+    plant = planter(r)
+    return [plant(r.choice(contexts) if contexts else ("", ""), int(i < n)) for i in range(2 * n)]
 
 
 def trained(data: list[tuple[tuple[str, str, str], int, int]], contexts: list[tuple[str, str]]) -> CharCnn:
@@ -307,26 +336,113 @@ def trained(data: list[tuple[tuple[str, str, str], int, int]], contexts: list[tu
     return net
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> CharCnn:
-    """A network trained and calibrated on findings in a sample of ``docs``; both bounds are parameters."""
+def training_findings(docs: DataFrame, plants: int) -> DataFrame:
+    """Every labelled finding of ``docs`` (doc_id long, text) and ``plants`` planted in each text that is not empty: doc, at, kind, label,
+    family (-1: not planted), apart (calibrates, does not train) and codes, what the network reads.
+
+    What is planted and what is kept apart depends on ids alone.
+    """
     let_workers_import(docs.sparkSession)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tenth(doc: int | None, at: int) -> int:
+        return zlib.crc32(f"{doc}:{at}".encode()) % 10
+
+    def of(doc: int | None, text: str) -> Iterator[tuple]:
+        for a, b, kind, label in labelled(text):
+            yield window_of(text, a, b), doc, a, kind, label, -1, tenth(doc, a) < FOUND_APART
+        r = random.Random(f"{doc}")
+        plant = planter(r)
+        for i in range(1, plants + 1) if text else ():
+            p, q = r.randrange(len(text)), r.randrange(len(text))
+            window, kind, label, family = plant((text[p : p + BEFORE], text[q : q + AFTER]), r.randrange(2))
+            yield window, doc, -i, kind, label, family, tenth(doc, -i) < PLANTED_APART
+
+    types = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()
+    names = ["doc", "at", "kind", "label", "family", "apart", "codes"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            found = (x for doc, text in texts for x in of(doc, text or ""))
+            while some := list(islice(found, 4096)):
+                windows, *columns = zip(*some, strict=True)
+                codes = [c.tobytes() for c in encode(windows).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(codes, pa.binary())], names)
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc long, at long, kind int, label int, family int, apart boolean, codes binary")
+
+
+def _codes_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+
+
+def _shards(findings: DataFrame, n: int) -> DataFrame:
+    """``findings`` in about n shards by hash, a row each: shard, codes and labels of its findings by id."""
+
+    def packed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc", "at", "codes")])
+        labels = bytes(rows.column("label").to_pylist())
+        return pa.table({"shard": rows.column("shard")[:1], "codes": pa.array([b"".join(rows.column("codes").to_pylist())]), "labels": pa.array([labels])})
+
+    shard = F.pmod(F.xxhash64("doc", "at"), F.lit(n)).cast("int")
+    return findings.select("doc", "at", "label", "codes", shard.alias("shard")).groupBy("shard").applyInArrow(packed, "shard int, codes binary, labels binary")
+
+
+def _one_round(shards: DataFrame, net: CharCnn, number: int, steps: int) -> np.ndarray:
+    """The mean, by findings, of the states that one pass over each shard makes of that of ``net``, after ``steps`` steps."""
+    start = net.state()
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = CharCnn()
         for batch in batches:
-            rows = []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(doc, a, *window_of(text, a, b), kind, label) for a, b, kind, label in labelled(text or "")]
-                if text:
-                    rows.append((doc, -1, text[len(text) // 2 :][:BEFORE], "", text[len(text) // 3 :][:AFTER], 0, -1))  # a context
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc", "at", "before", "inside", "after", "kind", "label"), x, strict=True)) for x in rows], schema)
-
-    schema = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("before", pa.string()), ("inside", pa.string()), ("after", pa.string()), ("kind", pa.int32()), ("label", pa.int32())])
-    found = sample_of(docs.select(F.col("doc_id").cast("long"), "text"), sample_docs).mapInArrow(
-        windows, "doc long, at long, before string, inside string, after string, kind int, label int"
-    )
-    rows = found.orderBy(F.xxhash64("doc", "at"), "doc", "at").limit(sample_candidates).collect()
-    contexts = [(r.before, r.after) for r in rows if r.label < 0]
-    return trained([((r.before, r.inside, r.after), r.kind, r.label) for r in rows if r.label >= 0], contexts)
+            for shard, codes, labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own.put(start)
+                y = np.frombuffer(labels, np.uint8).astype(float)
+                own.train(_codes_of(pa.array([codes])), y, rounds=1, seed=[number, shard], t=steps)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(y)], pa.int64()), pa.array([own.state().tobytes()])], ["shard", "n", "state"])
+
+    got = sorted(shards.mapInArrow(passed, "shard int, n long, state binary").collect())
+    return np.average([np.frombuffer(r.state) for r in got], 0, [r.n for r in got])
+
+
+def _score_counts(findings: DataFrame, net: CharCnn) -> DataFrame:
+    """kind, label, family, bin (of the score, lower end) and n, the findings there."""
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.floor(np.clip(net.logits(_codes_of(batch.column(3))), -40, 40) * SCORE_BINS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bins, pa.int32())], ["kind", "label", "family", "bin"])
+
+    rows = findings.select("kind", "label", "family", "codes").mapInArrow(binned, "kind int, label int, family int, bin int")
+    return rows.groupBy("kind", "label", "family", "bin").agg(F.count("*").alias("n"))
+
+
+def fit(docs: DataFrame) -> CharCnn:
+    """A network trained and calibrated on the labelled findings of all ``docs``.
+
+    Findings are written once to scratch space, so each text is read twice: to count the texts and to find. A round is one
+    job, whose tasks pass over a shard each; the driver holds a state of the network (54 KB) for each SHARD_ROWS findings, and
+    then counts of scores by bin.
+    """
+    session = docs.sparkSession
+    scratch = Scratch(session, "secrets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.where("text <> ''").count()
+    if not texts:  # nothing to learn from but what is planted in no context
+        docs, texts = session.createDataFrame([(0, " ")], docs.schema), 1
+    findings = scratch.keep(training_findings(docs, -(-LEAST_PLANTED // texts)), "findings")
+    learn = findings.where("not apart")
+    n = learn.count()
+    parts = max(1, round(n / SHARD_ROWS))
+    shards = scratch.keep(_shards(learn, parts).repartition(parts), "shards")  # as many files, for as many tasks
+    net, steps = CharCnn(), max(1, n // parts // BATCH)  # of a shard in a round
+    for i in range(min(MOST_ROUNDS, -(-STEPS // steps))):
+        net.put(_one_round(shards, net, i, i * steps))
+    rows = _score_counts(findings.where("apart"), net).orderBy("kind", "label", "family", "bin").collect()
+    kind, label, family, bins, counts = np.array(rows, np.int64).reshape(-1, 5).T
+    net.calibrate_scores(bins / SCORE_BINS, label, kind, family, counts)
+    scratch.clear()
+    return net
 
 
 _nets: dict[str, CharCnn] = {}

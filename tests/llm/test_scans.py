@@ -99,6 +99,25 @@ def test_candidates_without_a_known_label_train_nothing():
     assert [(text[a:b], label) for a, b, _, label in S.labelled(text)] == [("some-thing-here-42", 0), ("password=abcdefgh1234", 1), ("abcdefgh1234", 1)]
 
 
+def test_findings_of_all_documents_train_or_calibrate(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('some words password=abcdefgh', id, ' and more') AS text")
+    rows = S.training_findings(docs, 1).cache()
+    found = {r.family < 0: r.docs for r in rows.groupBy("family").agg(F.countDistinct("doc").alias("docs")).collect() if r.family < 0}
+    assert found == {True: 6000} and rows.where("family >= 0").count() == 6000  # one planted in each
+    learn = rows.where("not apart")
+    shards = S._shards(learn, 3).collect()
+    assert len(shards) == 3 and sum(len(s.labels) for s in shards) == learn.count() and all(len(s.codes) == S.WIDTH * len(s.labels) for s in shards)
+    net = S.CharCnn()
+    counts = S._score_counts(rows.where("apart"), net).agg(F.sum("n")).first()[0]
+    assert counts + learn.count() == rows.count()
+    one = S._shards(learn, 1)
+    state = S._one_round(one, net, 0, 0)
+    row = one.first()
+    net.train(np.frombuffer(row.codes, np.uint8).reshape(-1, S.WIDTH).astype(np.int64), np.frombuffer(row.labels, np.uint8).astype(float), rounds=1, seed=[0, 0])
+    assert np.allclose(state, net.state(), atol=1e-4)
+    rows.unpersist()
+
+
 def test_time_is_linear_in_a_text_of_keys(net):
     took = []
     for n in 4000, 16000:
