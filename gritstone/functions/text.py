@@ -177,7 +177,7 @@ def collapse_whitespace(text: Column) -> Column:
 
 def alpha_ratio(text: Column) -> Column:
     """Letters among all characters; 0 for empty text."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     return F.coalesce(letters / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
 
 
@@ -221,4 +221,9 @@ def fragments(text: Column, tokens: int) -> Column:
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+$", "")
+    """``text`` without what ``\\s+$`` finds. Names ``text`` more than once, so give it a column or a lambda's variable.
+
+    Where no line break outside of ASCII ends the text, before which ``$`` would match too, that is its trailing white space.
+    """
+    odd = text.endswith("\u0085") | text.endswith("\u2028") | text.endswith("\u2029")
+    return F.when(odd, F.regexp_replace(text, r"\s+$", "")).otherwise(F.rtrim(text, F.lit(" \t\n\x0b\f\r")))

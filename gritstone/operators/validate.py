@@ -50,11 +50,13 @@ def _new_in_section(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(count, f"{fields}, prev int, new int, words int")
 
 
-def judged(chunks: DataFrame, cfg: Config) -> DataFrame:
+def judged(chunks: DataFrame, cfg: Config, counted: bool = False) -> DataFrame:
     """``chunks`` with text normalised, alpha_ratio, novelty (null for a section's first) and reject_reason (null: valid).
 
     Novelty is the share of a chunk's distinct words that the chunk before it in its section does not have, or none of
-    those before it (``novelty_against``). Chunks of a section are told apart by chunk_no.
+    those before it (``novelty_against``). Chunks of a section are told apart by chunk_no. ``counted`` says that
+    token_count and word_count are those of the text, as ``section_chunks`` gives them; single white space changes neither
+    word_count nor the regular expression's tokens, so these are then not counted again.
     """
     in_section = Window.partitionBy("patent_id", "section_idx").orderBy("chunk_no")
     rows = chunks.withColumn("text", collapse_whitespace(F.col("text"))).withColumn("tokens", word_tokens(F.col("text")))
@@ -66,9 +68,10 @@ def judged(chunks: DataFrame, cfg: Config) -> DataFrame:
         raise ValueError(f"novelty_against is previous or section, not {cfg.novelty_against!r}")
     novelty = F.when(F.col("prev").isNotNull(), F.col("new") / F.nullif("words", F.lit(0)))
     same = Window.partitionBy("patent_id", F.md5(F.col("text").cast("binary"))).orderBy("section_idx", "chunk_no")
+    if not (counted and cfg.token_counter == "regex"):
+        rows = rows.withColumn("token_count", tokens_of(F.col("text"), cfg)).withColumn("word_count", word_count(F.col("text")))
     rows = (
-        rows.withColumn("token_count", tokens_of(F.col("text"), cfg)).withColumn("word_count", word_count(F.col("text")))
-        .withColumn("alpha_ratio", alpha_ratio(F.col("text"))).withColumn("novelty", novelty).drop("prev", "new", "words")
+        rows.withColumn("alpha_ratio", alpha_ratio(F.col("text"))).withColumn("novelty", novelty).drop("prev", "new", "words")
         .withColumn("copy_no", F.row_number().over(same))
     )
     short = F.col("token_count") < cfg.min_chunk_tokens

@@ -37,7 +37,7 @@ def built_chunks(patents: DataFrame, cfg: Config) -> DataFrame:
 
 def valid_chunks(patents: DataFrame, cfg: Config) -> DataFrame:
     """Valid chunks with their indexes."""
-    return indexed(judged(built_chunks(patents, cfg), cfg))
+    return indexed(judged(built_chunks(patents, cfg), cfg, counted=True))
 
 
 def payload(patents: DataFrame, cfg: Config) -> DataFrame:

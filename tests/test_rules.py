@@ -268,3 +268,15 @@ def test_novelty_in_a_section_makes_no_row_of_a_word(spark, capsys):
     assert [r.novelty for r in rows.orderBy("chunk_no").collect()] == [None, 1 / 3, None, None, 1 / 3, 0.5]
     rows.explain()
     assert "explode" not in capsys.readouterr().out
+
+
+def test_counts_of_chunks_are_those_of_their_texts(spark):
+    texts = ["One two.  Three, four! \n" * 90 + "end  ", "Ünï 12 \u0085\n\nA b. " + "word, " * 700, "  \n \t", None]
+    df = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "patent_id string, text string")
+    for strategy in "last_sentence", "last_unit", "none":
+        rows = section_chunks(section_units(sections(df, CFG), CFG), replace(CFG, overlap_strategy=strategy))
+        again = judged(rows, CFG).select("chunk_id", "token_count", "word_count", "reject_reason").collect()
+        assert sorted(again) == sorted(judged(rows, CFG, counted=True).select("chunk_id", "token_count", "word_count", "reject_reason").collect())
+        assert rows.count() > 4 and rows.where(T.token_count(F.col("text")) != F.col("token_count")).count() == 0
+    ends = spark.createDataFrame([(t,) for t in ("a \n", "a  ", "a  \n", "a \u0085", "a  \n", "a\xa0 ", " ", "", "a b", None)], "t string")
+    assert ends.where(~T.strip_end(F.col("t")).eqNullSafe(F.regexp_replace("t", r"\s+$", ""))).count() == 0
