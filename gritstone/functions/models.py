@@ -10,29 +10,48 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
+from gritstone.functions.words import blocks, words
+
+HELD_WORDS = 1 << 17
 _WORD = re.compile(r"[^\W_]+")
 Embedder = Callable[[list[str]], np.ndarray]
 Reranker = Callable[[list[str], list[str], np.ndarray], np.ndarray]
 
 
-@lru_cache(maxsize=1 << 17)
 def bucket_of(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:6], 16) % dim
 
 
+class _Buckets(dict):
+    """Buckets of words seen, forgotten when there are too many of them."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        self[token] = found = bucket_of(token, self.dim)
+        return found
+
+
 def hash_embedder(dim: int) -> Embedder:
     """Counts of a text's lower-cased words by bucket of their hash, at length 1; zero for a text without words."""
+    known = _Buckets(dim)
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            own = [bucket_of(w, dim) for w in _WORD.findall(t.lower())]
-            if own:
-                out[i] = np.bincount(own, minlength=dim)
+        counts = [np.zeros((0, dim))]
+        for (block,) in blocks(pa.array([t.lower() for t in texts], pa.string())):
+            found, own, _ = words(block)
+            coded = found.dictionary_encode()
+            buckets = np.array([known[w] for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)
+            cells = buckets[coded.indices.to_numpy()] + np.repeat(np.arange(len(block)) * dim, own)
+            counts.append(np.bincount(cells, minlength=len(block) * dim).reshape(-1, dim))
+        out = np.concatenate(counts)
         n = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(n == 0, 1, n)
 

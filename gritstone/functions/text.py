@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -162,8 +163,15 @@ def running_sums(values: Column, block: int = 512) -> Column:
     return let(let(values, in_blocks), joined)
 
 
+def _single_spaced(text: Column) -> Column:
+    """Whether single spaces are the only white space, as in nearly all chunks; told without a regular expression."""
+    return ~reduce(Column.__or__, [text.contains(c) for c in ["  ", *"\t\n\x0b\f\r"]])
+
+
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\S+"))
+    """Runs of other than white space. Names ``text`` more than once, so give it a column."""
+    parts = F.size(F.split(F.trim(text), " ", -1))
+    return F.when(_single_spaced(text), F.when(F.trim(text) == "", 0).otherwise(parts)).otherwise(F.regexp_count(text, F.lit(r"\S+")))
 
 
 def word_tokens(text: Column) -> Column:
@@ -172,12 +180,16 @@ def word_tokens(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Single spaces for white space, none around the text. Names ``text`` more than once, so give it a column."""
+    return F.trim(F.when(_single_spaced(text), text).otherwise(F.regexp_replace(text, r"\s+", " ")))
 
 
 def alpha_ratio(text: Column) -> Column:
     """Letters among all characters; 0 for empty text."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    return share_of(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), text)
+
+
+def share_of(letters: Column, text: Column) -> Column:
     return F.coalesce(letters / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
 
 

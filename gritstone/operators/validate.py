@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gritstone.config import Config
-from gritstone.functions.text import alpha_ratio, collapse_whitespace, is_heading, tokens_of, word_count, word_tokens
+from gritstone.functions.text import alpha_ratio, collapse_whitespace, is_heading, share_of, tokens_of, word_count, word_tokens
+from gritstone.functions.words import blocks, in_text_before, words
 from gritstone.sources.scratch import let_workers_import
 
 
@@ -50,33 +52,62 @@ def _new_in_section(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(count, f"{fields}, prev int, new int, words int")
 
 
+def _new_words(texts: Column, *section: str) -> Column:
+    """(new, words, letters) of each text: distinct words, those of them that the text before it in its section does not
+    have (null without one), and letters. Rows must come by section, in the order of their chunks.
+    """
+
+    @F.arrow_udf("struct<new:int,words:int,letters:int>")
+    def count(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        before, last = None, pa.array([], pa.string())  # the row before, and its words
+        for columns in batches:
+            out = [pa.array([], pa.struct([(n, pa.int32()) for n in ("new", "words", "letters")]))]
+            for texts, *ids in blocks(*columns):
+                found, counts, letters = words(texts)
+                distinct, again = in_text_before(last, found, counts)
+                keys = [before, *zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in [*ids, texts.is_null()]), strict=True)]
+                first = np.array([a != b or b[-1] for a, b in zip(keys, keys[1:], strict=False)])
+                nulls = np.array([k[-1] for k in keys[1:]])
+                out.append(pa.StructArray.from_arrays(
+                    [pa.array((distinct - again).astype(np.int32), mask=first), pa.array(distinct.astype(np.int32), mask=nulls), pa.array(letters.astype(np.int32))], ["new", "words", "letters"]
+                ))
+                before, last = keys[-1], found.slice(len(found) - int(counts[-1]))
+            yield pa.concat_arrays(out)
+
+    # what it gives depends on the rows before, so no filter may move below it
+    return count.asNondeterministic()(texts, *section)
+
+
 def judged(chunks: DataFrame, cfg: Config, counted: bool = False) -> DataFrame:
     """``chunks`` with text normalised, alpha_ratio, novelty (null for a section's first) and reject_reason (null: valid).
 
     Novelty is the share of a chunk's distinct words that the chunk before it in its section does not have, or none of
-    those before it (``novelty_against``). Chunks of a section are told apart by chunk_no. ``counted`` says that
-    token_count and word_count are those of the text, as ``section_chunks`` gives them; single white space changes neither
-    word_count nor the regular expression's tokens, so these are then not counted again.
+    those before it (``novelty_against``). Chunks of a section are told apart by chunk_no. ``counted`` says that the rows
+    are those of ``section_chunks``: still dealt out by patent_id alone, as ``sections`` does, and token_count and word_count are those of the
+    text; single white space changes neither word_count nor the regular expression's tokens, so these are then not counted
+    again.
     """
-    in_section = Window.partitionBy("patent_id", "section_idx").orderBy("chunk_no")
-    rows = chunks.withColumn("text", collapse_whitespace(F.col("text"))).withColumn("tokens", word_tokens(F.col("text")))
+    rows = chunks.withColumn("text", collapse_whitespace(F.col("text")))
+    if not (counted and cfg.token_counter == "regex"):
+        rows = rows.withColumn("token_count", tokens_of(F.col("text"), cfg)).withColumn("word_count", word_count(F.col("text"))).repartition("patent_id")
+    # windows come before steps in Python, after which Spark no longer knows that a patent's rows lie together
+    same = Window.partitionBy("patent_id", F.md5(F.col("text").cast("binary"))).orderBy("section_idx", "chunk_no")
+    rows = rows.withColumn("copy_no", F.row_number().over(same))
+    short = F.col("token_count") < cfg.min_chunk_tokens
+    if cfg.keep_only_chunk:
+        rows = rows.withColumn("of_section", F.count("*").over(Window.partitionBy("patent_id", "section_idx")))
+        short = short & (F.col("of_section") > 1)
     if cfg.novelty_against == "section":
-        rows = _new_in_section(rows)
+        rows = _new_in_section(rows.withColumn("tokens", word_tokens(F.col("text"))))
+        new, alpha = F.when(F.col("prev").isNotNull(), F.col("new")), alpha_ratio(F.col("text"))
     elif cfg.novelty_against == "previous":
-        rows = rows.withColumn("prev", F.lag("tokens").over(in_section)).withColumn("new", F.size(F.array_except("tokens", "prev"))).withColumn("words", F.size("tokens")).drop("tokens")
+        let_workers_import(rows.sparkSession)
+        ordered = rows.sortWithinPartitions("patent_id", "section_idx", "chunk_no").withColumn("n", _new_words(F.lower("text"), "patent_id", "section_idx"))
+        rows = ordered.withColumns({c: F.col(f"n.{c}") for c in ("new", "words", "letters")}).drop("n")
+        new, alpha = F.col("new"), share_of(F.col("letters"), F.col("text"))
     else:
         raise ValueError(f"novelty_against is previous or section, not {cfg.novelty_against!r}")
-    novelty = F.when(F.col("prev").isNotNull(), F.col("new") / F.nullif("words", F.lit(0)))
-    same = Window.partitionBy("patent_id", F.md5(F.col("text").cast("binary"))).orderBy("section_idx", "chunk_no")
-    if not (counted and cfg.token_counter == "regex"):
-        rows = rows.withColumn("token_count", tokens_of(F.col("text"), cfg)).withColumn("word_count", word_count(F.col("text")))
-    rows = (
-        rows.withColumn("alpha_ratio", alpha_ratio(F.col("text"))).withColumn("novelty", novelty).drop("prev", "new", "words")
-        .withColumn("copy_no", F.row_number().over(same))
-    )
-    short = F.col("token_count") < cfg.min_chunk_tokens
-    if cfg.keep_only_chunk:
-        short = short & (F.count("*").over(Window.partitionBy("patent_id", "section_idx")) > 1)
+    rows = rows.withColumn("alpha_ratio", alpha).withColumn("novelty", new / F.nullif("words", F.lit(0))).drop("prev", "new", "words", "letters")
     reason = (
         F.when(F.lit(cfg.reject_heading_only) & is_heading_only(F.col("text"), cfg), "heading_only")
         .when(F.col("alpha_ratio") < cfg.low_info_threshold, "low_information")
@@ -84,7 +115,7 @@ def judged(chunks: DataFrame, cfg: Config, counted: bool = False) -> DataFrame:
         .when(short, "too_short")
         .when(F.col("copy_no") > 1, "duplicate")
     )
-    return rows.withColumn("reject_reason", reason).drop("copy_no")
+    return rows.withColumn("reject_reason", reason).drop("copy_no", "of_section")
 
 
 def indexed(judged_chunks: DataFrame) -> DataFrame:
